@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, mixing, pii, sharding, urlfilter
+from . import exactdedup, mixing, neardup, pii, sharding, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(_table(spark, sf_dir, "documents"), width=3, least=85)
+
+
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(_table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -34,7 +38,7 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_systematic_mix, op5_byte_shards, op6_bloom_cascade, op7_pii_spans, op10_chunk_recipes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_systematic_mix, op2_tensored_minhash, op5_byte_shards, op6_bloom_cascade, op7_pii_spans, op10_chunk_recipes)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_systematic_mix": r"""
@@ -54,6 +58,18 @@ ORACLE_SQL: dict[str, str] = {
         p AS (SELECT *, coalesce(sum(step) OVER (PARTITION BY source ORDER BY size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS before FROM e),
         c AS (SELECT *, ((((before + start) % 4294967296) + step) // 4294967296)::BIGINT AS copies FROM p)
         SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM c""",
+    "op2_tensored_minhash": r"""
+        WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+                                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        i AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS MATERIALIZED (SELECT i.a, i.b FROM i JOIN n x ON x.doc_id = i.a JOIN n y ON y.doc_id = i.b WHERE 100 * i.n >= 85 * (x.n + y.n - i.n)),
+        both_ways AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON x.a = r.b),
+        c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+        FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op6_bloom_cascade": r"""
         WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
