@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, mixing, neardup, pii, sharding, urlfilter
+from . import exactdedup, mixing, neardup, pii, quality, sharding, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +34,16 @@ def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
 
 
+def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_systematic_mix, op2_tensored_minhash, op5_byte_shards, op6_bloom_cascade, op7_pii_spans, op10_chunk_recipes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_systematic_mix, op2_tensored_minhash, op5_byte_shards, op6_bloom_cascade, op7_pii_spans, op8_factorisation_machine, op10_chunk_recipes)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_systematic_mix": r"""
