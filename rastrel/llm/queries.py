@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, mixing, neardup, pii, quality, sharding, urlfilter
+from . import decontaminate, exactdedup, mixing, neardup, pii, quality, sharding, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(_table(spark, sf_dir, "documents"), width=3, least=85)
 
 
+def op3_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(_table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -43,7 +47,7 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_systematic_mix, op2_tensored_minhash, op5_byte_shards, op6_bloom_cascade, op7_pii_spans, op8_factorisation_machine, op10_chunk_recipes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_systematic_mix, op2_tensored_minhash, op3_bm25_wand, op5_byte_shards, op6_bloom_cascade, op7_pii_spans, op8_factorisation_machine, op10_chunk_recipes)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_systematic_mix": r"""
