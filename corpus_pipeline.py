@@ -6,12 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rastrel.llm import mixing, sharding
+from rastrel.llm import decontaminate, mixing, neardup, quality, sharding
 from rastrel.llm.shared import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects."""
+    return quality.keep_good(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: runs of five words, similarity 0.8 or more."""
+    return neardup.drop_near(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that contain a benchmark item."""
+    return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of its source takes it."""
     return mixing.emit(docs)
@@ -22,15 +41,15 @@ def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("mixing", mix_sources), ("sharding", cut_shards)]
+STAGES: list[tuple[str, Stage]] = [("quality", keep_good), ("near-duplicates", drop_near), ("decontamination", drop_contaminated), ("mixing", mix_sources), ("sharding", cut_shards)]
 
-#: The classifier and the MinHash stage have no SQL form.
+#: The classifier has no SQL form.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents under sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
