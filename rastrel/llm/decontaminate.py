@@ -13,12 +13,14 @@ that is no shorter than the longest item of the index, so any whole copy of an i
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -189,10 +191,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, most: int = INDEX_ITEMS) -> D
     kinds = [to_arrow_type(f.dataType) for f in schema.fields]
     out = None
     for index in indexes(benchmark, most):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hasher, index = Words(MARKS, fold=True), shared.value
+            hasher, index = Words(MARKS, fold=True), pickle.loads(shared.value)
             for batch in pieces(batches):
                 ids = batch.column(batch.schema.get_field_index("doc_id"))
                 rows = [(ids[d].as_py(), index.items[i].item_id, *values) for (d, i), values in sorted(_found(index, batch, hasher).items())]
@@ -207,10 +209,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most: int = INDEX_I
     """The rows of docs, with all their columns, that contain no item."""
     out = docs
     for index in indexes(benchmark, most):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hasher, index = Words(MARKS, fold=True), shared.value
+            hasher, index = Words(MARKS, fold=True), pickle.loads(shared.value)
             for batch in pieces(batches):
                 gone = {d for d, _ in _found(index, batch, hasher)}
                 yield batch.filter(pa.array([d not in gone for d in range(batch.num_rows)], pa.bool_()))

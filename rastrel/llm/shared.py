@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import importlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
+cloudpickle.register_pickle_by_value(importlib.import_module(__package__))  # tasks need not find the package
+
 #: Text bytes that one numpy pass works on; a longer document is a pass of its own.
 PIECE_BYTES = 2 << 20
 #: Bytes of an Arrow batch between the JVM and a Python worker.
