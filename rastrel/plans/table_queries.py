@@ -193,9 +193,9 @@ def suffix_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "path", names.is_tiff(path).alias("tiff"), names.is_image(path).alias("image"), names.hidden(path).alias("hidden"), F.lower(path).rlike(r"_tile_.*\.tif$").alias("tile"), (F.length(names.base_name(path)) > 5).alias("long_name"))
 
 
-@query("""SELECT event_id, format('{:.3e}', 0.0::DOUBLE) AS zero, format('{:04d}', event_id) AS padded, replace(replace(replace(format('{:.3e}', value), 'e+0', 'e+'), 'e-0', 'e-'), 'e+', 'e+') AS text FROM events""")
+@query("""SELECT event_id, format('{:.3e}', 0.0::DOUBLE) AS zero, format('{:04d}', event_id) AS padded, replace(replace(replace(format('{:.3e}', value / 7), 'e+0', 'e+'), 'e-0', 'e-'), 'e+', 'e+') AS text FROM events""")
 def formatted_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.table(spark, sf_dir, "events").select("event_id", F.format_string("%.3e", F.lit(0.0)).alias("zero"), F.format_string("%04d", "event_id").alias("padded"), names.compact_exponent(F.col("value")).alias("text"))
+    return model.table(spark, sf_dir, "events").select("event_id", F.format_string("%.3e", F.lit(0.0)).alias("zero"), F.format_string("%04d", "event_id").alias("padded"), names.compact_exponent(F.col("value") / 7).alias("text"))
 
 
 @query("""WITH f AS (SELECT event_id, user_id, value, CASE event_id % 4 WHEN 0 THEN 'potsdam_' WHEN 1 THEN 'vaihingen_' WHEN 2 THEN 'sweden_' ELSE 'potsdam_sweden_' END || event_id AS name FROM events),
