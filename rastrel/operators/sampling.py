@@ -65,3 +65,9 @@ def random_window(seed: object, key_col: Column, height: int, width: int, size:
     """row0 and col0 of a random crop, and whether to flip it."""
     pick = lambda tag, room: F.floor(uniform(f"{seed}{tag}", key_col) * (room + 1)).cast("long")
     return pick("r", height - size), pick("c", width - size), uniform(f"{seed}f", key_col) < 0.5
+
+
+def shuffled_steps(seed: object, steps: Sequence[str], *keys: Column) -> Column:
+    """The steps in an order drawn for the row."""
+    drawn = F.array_sort(F.array(*[F.struct(key(seed, *keys, F.lit(s)).alias("k"), F.lit(s).alias("step")) for s in steps]))
+    return F.transform(drawn, lambda s: s["step"])

@@ -287,6 +287,20 @@ def state_key_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.table(spark, sf_dir, "part").select("p_partkey", F.size(kept).cast("long").alias("n_kept"))
 
 
+@query("""WITH o AS (SELECT vec_id AS tile_id, list_transform(list_sort(list_transform(['brightness', 'contrast', 'saturation'], lambda n: md5('jitter|' || vec_id || '|' || n) || ' ' || n)), lambda x: split_part(x, ' ', 2)) AS o FROM embeddings) SELECT tile_id, array_to_string(o, ',') AS steps FROM o""")
+def jitter_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which a tile's colour steps are applied."""
+    return model.tiles(spark, sf_dir).select("tile_id", F.array_join(sampling.shuffled_steps("jitter", ("brightness", "contrast", "saturation"), F.col("tile_id")), ",").alias("steps"))
+
+
+@query("""WITH b AS (SELECT p_partkey, range(p_size % 6 + 1) AS bands FROM part) SELECT p_partkey, CASE WHEN len(bands) IN (3, 4) THEN 3 ELSE 1 END::BIGINT AS n_bands, list_sum(CASE WHEN len(bands) IN (3, 4) THEN bands[1:3] ELSE bands[1:1] END)::BIGINT AS total FROM b""")
+def band_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.grid import band_subset as subset
+
+    rows = model.table(spark, sf_dir, "part").select("p_partkey", F.sequence(F.lit(0), F.pmod("p_size", F.lit(6))).alias("bands")).select("p_partkey", subset(F.col("bands")).alias("kept"))
+    return rows.select("p_partkey", F.size("kept").cast("long").alias("n_bands"), F.aggregate("kept", F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
+
+
 @query("""SELECT p_brand AS label, count(*) AS n FROM part GROUP BY 1""")
 def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("label")).agg(F.count(F.lit(1)).alias("n"))
