@@ -6,8 +6,8 @@ keys of 6 minhashes, where one band per table would need 486. A pair of similari
 probability (1 - (1 - s^ROWS)^GROUPS)^2: 0.9996 at 0.85, 0.999 at 0.8, above that nearly 1.
 
 Texts with equal shingle sets are one class from the start. Of classes that share a key, each is compared with the
-least; components follow, and what is still divided within a key goes into another round. Every link that counts has
-been confirmed on the full sets.
+least, and components follow. The classes of keys that are then still in several components are compared once more,
+by an exact filter on their rarest shingles. Every link that counts has been confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -29,8 +29,6 @@ WIDTH = 5
 LEAST = 80
 GROUPS = 9
 ROWS = 3
-#: Pairs per row still open up to which a round compares all that is open instead of another star.
-OPEN = 8
 
 
 def _sets(batch: pa.RecordBatch, words: Words, width: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -133,32 +131,84 @@ def _links(docs: DataFrame, classes: DataFrame, once: bool, width: int, least: i
 
     links = materialise(_confirmed(pairs, sizes, sets, least), "links")
     roots = materialise(components(links), "roots")
-    open_rows = met.select("key", "class")
-    while True:
-        labels = roots.select(F.col("node").alias("_node"), "root")
-        labelled = open_rows.join(labels, open_rows["class"] == labels["_node"], "left").select("key", "class", F.coalesce("root", "class").alias("label"))
-        divided = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        open_rows = materialise(labelled.join(divided, "key", "left_semi"), "open")
-        sums = open_rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("head"))
-        total = sums.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-        if not total["rows"]:
-            return roots
-        last = total["pairs"] <= OPEN * total["rows"]
-        if last:
-            a, b = open_rows.select("key", F.col("class").alias("a"), F.col("label").alias("la")), open_rows.select("key", F.col("class").alias("b"), F.col("label").alias("lb"))
-            more = a.join(b, "key").where("a < b and la <> lb").select("a", "b")
-        else:  # one more star in every key: its least class has then met all others and leaves
-            heads = materialise(sums.select("key", "head"), "heads")
-            open_rows = open_rows.join(heads, "key").where("class <> head").select("key", "class", "head")
-            more = open_rows.select(F.col("head").alias("a"), F.col("class").alias("b"))
-        more = more.distinct().join(pairs, ["a", "b"], "left_anti")
+    index = _rarest(_open(met.select("key", "class"), roots), sets, sizes, least)
+    for every in (False, True) if index is not None else ():
+        minor, rows = _minor(index, roots)
+        more = _meetings(minor, rows, least) if every else _with_heads(minor, least)
+        more = more.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+        more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
         found = materialise(_confirmed(more, sizes, sets, least), "links")
         if found.limit(1).count():
-            links = links.union(found)
+            pairs, links = pairs.union(more), links.union(found)
             roots = materialise(components(links), "roots")
-        if last:
-            return roots
-        open_rows = open_rows.select("key", "class")
+    return roots
+
+
+def _rarest(rows: DataFrame, sets: DataFrame, sizes: DataFrame, least: int) -> DataFrame | None:
+    """shingle, class, n, rest for the classes of rows (key, class, label): an index for exact prefix filtering.
+
+    With the shingles of every class in one order, the rarest first, two classes that are similar enough share one of
+    the first n - ceil(n * least / 100) + 1, and only those are in the index; rest counts a class's shingles from
+    there on. Many versions of one text differ in just these, so only versions with rare shingles in common meet.
+    """
+    classes = materialise(rows.select("class").distinct(), "open")
+    count = classes.count()
+    if not count:
+        return None
+    each = sets.join(small(classes, count), "class").select("class", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    shared = materialise(each.join(often, "shingle"), "shared")
+    m = shared.groupBy("class").agg(F.count(F.lit(1)).alias("m"))
+    m = materialise(m.join(sizes, "class").where(100 * F.col("m") >= least * F.col("n")), "shared-sizes")
+    rarest = Window.partitionBy("class").orderBy("k", "shingle")
+    first = F.col("m") - F.floor((least * F.col("n") + 99) / 100) + 1
+    placed = shared.join(small(m, count), "class").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= first)
+    return materialise(placed.select("shingle", "class", "n", (F.col("m") - F.col("place") + 1).alias("rest")), "index")
+
+
+def _minor(index: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index's rows with their labels, and those of them, with the head's values, that are under their shingle not
+    of its largest component. The head is the one of that component with the most shingles left."""
+    rows = materialise(_labelled(index, roots), "labelled")
+    weights = rows.groupBy("label").agg(F.count(F.lit(1)).alias("weight"))
+    weights = materialise(weights, "weights")
+    head = F.max(F.struct("weight", F.col("label").alias("top"), "rest", "class", "n")).alias("h")
+    tops = rows.join(small(weights, weights.count()), "label").groupBy("shingle").agg(head, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    tops = materialise(tops.select("shingle", "h.top", F.col("h.class").alias("class_b"), F.col("h.n").alias("n_b"), F.col("h.rest").alias("rest_b")), "tops")
+    return materialise(rows.join(tops, "shingle").where("label <> top").withColumnsRenamed({c: f"{c}_a" for c in ("class", "label", "n", "rest")}), "minor"), rows
+
+
+def _enough(least: int) -> Column:
+    """Whether a shingle can be the first that two classes have in common: what is left of both from there on is enough
+    for the overlap that a link takes."""
+    return (100 + least) * F.least("rest_a", "rest_b") >= least * (F.col("n_a") + F.col("n_b"))
+
+
+def _with_heads(minor: DataFrame, least: int) -> DataFrame:
+    return minor.where(_enough(least))
+
+
+def _meetings(minor: DataFrame, rows: DataFrame, least: int) -> DataFrame:
+    """Rows of minor with all of another component under the same shingle."""
+    b = rows.withColumnsRenamed({c: f"{c}_b" for c in ("class", "label", "n", "rest")})
+    once = (F.col("label_b") == F.col("top")) | (F.col("class_a") < F.col("class_b"))
+    return minor.drop("class_b", "n_b", "rest_b").join(b, "shingle").where((F.col("label_a") != F.col("label_b")) & once & _enough(least))
+
+
+def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (class, ...) with label, the root of the class's component or the class itself."""
+    labels = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    return rows.join(labels, rows["class"] == labels["_node"], "left").select(*rows.columns, F.coalesce("_root", "class").alias("label"))
+
+
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (key, class) with label, of keys with more than one label."""
+    return _divided(_labelled(rows, roots))
+
+
+def _divided(rows: DataFrame) -> DataFrame:
+    keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(keys, "key", "left_semi")
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH, least: int = LEAST, groups: int = GROUPS, rows: int = ROWS) -> DataFrame:
