@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, prefixed, same
+from .shared import materialise, prefixed, same, small
 
 #: By source in code point order, null last, repeating.
 WEIGHTS = (3, 1, 2)
@@ -80,7 +80,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 
 def emit(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """The mix itself: the rows of docs with all their columns, each as often as it is taken."""
-    packed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    taken = _copies(packed, weights, share, most, seed).where("copies > 0")
-    return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
+    """The mix itself: the rows of docs with all their columns, each as often as it is taken.
+
+    The copies are worked out on narrow rows, which find their texts by doc_id and a hash of the whole row. Rows that
+    are alike in every column are one there, and taken as often as all of them.
+    """
+    row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    sizes = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row.alias("_alike")), "words")
+    taken = _copies(sizes, weights, share, most, seed).groupBy("doc_id", "_alike").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0")
+    taken = materialise(taken, "taken").select(F.col("doc_id").alias("_id"), F.col("_alike").alias("_hash"), "copies", "n")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").alias("_doc_id"), row.alias("_row"))
+    found = packed.join(small(taken, taken.count()), same(F.col("_doc_id"), F.col("_id")) & (F.col("_row") == F.col("_hash")))
+    if taken.where("n > 1").limit(1).count():
+        found = found.where("n = 1").union(found.where("n > 1").dropDuplicates(["_id", "_hash"]))
+    return found.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
