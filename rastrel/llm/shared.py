@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -55,11 +56,17 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def _bytes(text: str) -> int:
+    """What a size setting such as 64m says."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)b?\s*", text.lower()).groups()
+    return int(number) * 1024 ** " kmgtp".index(unit or " ")
+
+
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """df.mapInArrow with batches of at most BATCH_BYTES (a session setting, lowered if larger), so that a Python
     worker's memory follows neither the number nor the length of the documents."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(df.sparkSession.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+    if not 0 < _bytes(df.sparkSession.conf.get(key)) <= BATCH_BYTES:
         df.sparkSession.conf.set(key, f"{BATCH_BYTES}b")
     return df.mapInArrow(f, schema)
 
@@ -69,7 +76,7 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def small(df: DataFrame, rows: int, most: int = 2_000_000) -> DataFrame:
+def small(df: DataFrame, rows: int, most: int = 500_000) -> DataFrame:
     """df marked for broadcast if its counted rows (narrow ones) are few enough; beyond that the join shuffles."""
     return F.broadcast(df) if rows <= most else df
 
