@@ -14,6 +14,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (u, v), u > v: links to the least neighbour m of u the greater (large) or lesser neighbours of u."""
     seen = edges.union(edges.select("v", "u")) if large else edges
     least = seen.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("m", "u").alias("m"))
+    least = least.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # so that the join can split a hub
     moved = seen.join(least, seen["u"] == least["_u"])
     if large:
         out = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -22,13 +23,20 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, root for every node of links (a, b: longs): root is the least node that can be reached."""
-    edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
-    while True:
-        row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if not row["n"] or tuple(row) == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        mark = tuple(row)
+def _finished(edges: DataFrame) -> bool:
+    """Whether every node has one link at most to a lesser node, and that one none: then the lesser node is the root."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.min("e.up").alias("low"))
+    return not nodes.where("up > 1 or up > 0 and low = 0").limit(1).count()
+
+
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """node, root for every node of links (a, b: longs), and of known, an earlier result, that they add to: root is
+    the least node that can be reached."""
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    if known is not None:
+        edges = edges.union(known.where("node <> root").select("node", "root"))
+    edges = materialise(edges.distinct(), "edges")
+    while not _finished(edges):
         edges = materialise(_stars(_stars(edges, True), False), "edges")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())

@@ -29,6 +29,7 @@ WIDTH = 5
 LEAST = 80
 GROUPS = 9
 ROWS = 3
+_PART = 1 << 18
 
 
 def _sets(batch: pa.RecordBatch, words: Words, width: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -46,6 +47,13 @@ def _class_id(run: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(run.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _minima(grams: np.ndarray, at: np.ndarray, mask: np.uint64, factor: np.uint64) -> np.ndarray:
+    """The least hash of each text's shingles, which start at at. One long text is taken in parts."""
+    if len(at) > 1:
+        return np.minimum.reduceat((grams ^ mask) * factor, at)
+    return np.array([min(((grams[k : k + _PART] ^ mask) * factor).min() for k in range(0, len(grams), _PART))], np.uint64)
+
+
 def sketches(docs: DataFrame, width: int = WIDTH, groups: int = GROUPS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, class (of the shingle set; null without shingles), left and right (bands, a long each)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -62,7 +70,7 @@ def sketches(docs: DataFrame, width: int = WIDTH, groups: int = GROUPS, rows: in
                 if len(full):
                     at = offsets[:-1][full]
                     for k in range(2 * groups * rows):
-                        low = np.minimum.reduceat((grams ^ masks[k]) * factors[k], at)
+                        low = _minima(grams, at, masks[k], factors[k])
                         bands[k // rows] += mix(low + np.uint64(k % rows)) * np.uint64(2 * (k % rows) + 1)
                 lists = []
                 counts = np.zeros(batch.num_rows, np.int32)
@@ -139,8 +147,7 @@ def _links(docs: DataFrame, classes: DataFrame, once: bool, width: int, least: i
         more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
         found = materialise(_confirmed(more, sizes, sets, least), "links")
         if found.limit(1).count():
-            pairs, links = pairs.union(more), links.union(found)
-            roots = materialise(components(links), "roots")
+            pairs, roots = pairs.union(more), materialise(components(found, roots), "roots")
     return roots
 
 
