@@ -174,8 +174,10 @@ def fit(background: list[str], steps: int = 300, sparsity: float = 2e-4) -> Mode
 
 def train(docs: DataFrame, most: int = SAMPLE_DOCS) -> Model:
     """Takes the unknown class from LINES lines of each of the most documents whose texts have the least hashes."""
-    lines = F.slice(F.split("text", "\n"), 1, LINES)
-    rows = docs.where("text is not null").select(F.xxhash64("text").alias("_h"), lines.alias("lines")).orderBy("_h", "lines").limit(most).collect()
+    found = docs.where("text is not null").select(F.xxhash64("text").alias("h"), "text")
+    last = found.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    lines = F.min(F.slice(F.split("text", "\n"), 1, LINES)).alias("lines")
+    rows = found.where(F.col("h") <= F.lit(last)).groupBy("h").agg(lines).orderBy("h").collect()  # most rows at most
     return fit([line[:2000] for r in rows for line in r["lines"] if line.strip()])
 
 
