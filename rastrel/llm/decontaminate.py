@@ -38,6 +38,8 @@ ANSWER = 0.5
 INDEX_ITEMS = 20_000
 #: Blocks of an index at most.
 BLOCKS = 256
+#: Cells, of a stride of words each, whose bounds are held at a time: a long text is taken in parts.
+CELLS = 8192
 _K1, _B = 1.2, 0.75
 _GATE_BITS = 22
 
@@ -121,25 +123,35 @@ class Index:
         doc = np.searchsorted(ends, at[live], side="right") - 1
         cell = first[doc] + (at[live] - ends[doc]) // self.stride
         once = np.unique(cell * len(self.vocabulary) + term[live])
-        cell, word = once // len(self.vocabulary), once % len(self.vocabulary)
-        many = self.rows[word + 1] - self.rows[word]
-        place = np.repeat(self.rows[word] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
         total = int(first[-1])
-        bound = np.bincount(np.repeat(cell, many) * self.blocks + self.block[place], self.bound[place], minlength=total * self.blocks).reshape(total, self.blocks)
         follows = np.ones(total, bool)
         follows[first[1:][cells > 0] - 1] = False
-        joined = bound.copy()
-        joined[:-1][follows[:-1]] += bound[1:][follows[:-1]]
-        for c, block in zip(*np.nonzero(joined >= self.threshold - self.slack - 1e-9), strict=True):
-            d = int(np.searchsorted(first, c, side="right")) - 1
-            lo = int(ends[d] + (c - first[d]) * self.stride)
-            hi = min(lo + 2 * self.stride, int(ends[d + 1]))
-            seen = np.unique(term[np.searchsorted(at, lo) : np.searchsorted(at, hi)])
-            for i in range(block * self.per_block, min((block + 1) * self.per_block, len(self.items))):
-                span = slice(self.terms[i], self.terms[i + 1])
-                score = float(self.impact[span][np.isin(self.term[span], seen, assume_unique=True)].sum())
-                if score >= self.threshold:
-                    yield d, lo, hi, i, score
+        for low in range(0, total, CELLS):
+            for c, block in self._reached(once, low, min(total, low + CELLS), follows):
+                d = int(np.searchsorted(first, c, side="right")) - 1
+                lo = int(ends[d] + (c - first[d]) * self.stride)
+                hi = min(lo + 2 * self.stride, int(ends[d + 1]))
+                seen = np.unique(term[np.searchsorted(at, lo) : np.searchsorted(at, hi)])
+                for i in range(block * self.per_block, min((block + 1) * self.per_block, len(self.items))):
+                    span = slice(self.terms[i], self.terms[i + 1])
+                    score = float(self.impact[span][np.isin(self.term[span], seen, assume_unique=True)].sum())
+                    if score >= self.threshold:
+                        yield d, lo, hi, i, score
+
+    def _reached(self, once: np.ndarray, low: int, high: int, follows: np.ndarray) -> Iterator[tuple[int, int]]:
+        """The passages from cells low to high, each a cell and the one that follows it in its text, with the blocks
+        whose bound can reach the threshold. once: cells and their needed words, as cell * words + word, in order."""
+        n = len(self.vocabulary)
+        size = min(high + 1, len(follows)) - low
+        cell, word = np.divmod(once[np.searchsorted(once, low * n) : np.searchsorted(once, (low + size) * n)], n)
+        many = self.rows[word + 1] - self.rows[word]
+        place = np.repeat(self.rows[word] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        bound = np.bincount(np.repeat(cell - low, many) * self.blocks + self.block[place], self.bound[place], minlength=size * self.blocks).reshape(size, self.blocks)
+        joined = bound[: high - low].copy()
+        on = np.flatnonzero(follows[low : min(high, low + size - 1)])
+        joined[on] += bound[on + 1]
+        for c, block in np.argwhere(joined >= self.threshold - self.slack - 1e-9).tolist():
+            yield c + low, block
 
 
 def hasher_words(hasher: Words, text: str) -> np.ndarray:

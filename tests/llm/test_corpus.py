@@ -117,6 +117,11 @@ def test_mixing(spark):
 
 def test_mixing_odd(spark, odd):
     out = rows_of(mixing.mix(docs_of(spark, odd)))
+    emitted = Counter(r["doc_id"] for r in mixing.emit(docs_of(spark, odd)).collect())
+    copies = Counter()
+    for r in out:
+        copies[r["doc_id"]] += r["copies"]
+    assert emitted == +copies
     assert len(out) == len(odd) and all(r["size"] == 0 for r in out if r["doc_id"] in (1, 2, 3))
     assert mixing.mix(docs_of(spark, [])).count() == 0 and mixing.emit(docs_of(spark, [])).count() == 0
     assert rows_of(mixing.mix(docs_of(spark, [(1, None, None)])))[0]["target"] == 0
@@ -258,13 +263,14 @@ def test_decontaminate_edited_and_empty(spark):
     assert decontaminate.drop_contaminated(docs_of(spark, rows), bench.limit(0)).count() == 3
 
 
-def test_retrieval_misses_nothing():
+def test_retrieval_misses_nothing(monkeypatch):
     """Every passage and item with a score above the threshold is retrieved: WAND against scoring all."""
     rng = random.Random(7)
     items = [(i, prose(rng, rng.randrange(5, 25), 80)) for i in range(70)]
     index = decontaminate.Index(items, threshold=0.3)
     hasher = W.Words(W.MARKS)
     text = prose(rng, 3000, 80)
+    monkeypatch.setattr(decontaminate, "CELLS", 7)
     words = decontaminate.hasher_words(hasher, text)
     ends = np.array([0, 1000, 1000, len(words)])
     got = {(d, lo, i) for d, lo, _, i, _ in index.candidates(words, ends)}
