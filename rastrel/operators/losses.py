@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import mean, paired
@@ -13,22 +13,24 @@ from .metrics import log_l1, mse
 WEIGHTS = {"gan": 1.0, "recon_x": 10.0, "recon_kl": 0.01, "recon_x_cyc": 10.0, "recon_kl_cyc": 0.01}
 
 
-def normal_loss(t: Column, p: Column, height: int, width: int) -> Column:
-    """Mean of |1 - cosine| between the normals (-gx, -gy, 1) of two surfaces."""
-    tx, ty = sobel(t, height, width)
-    px, py = sobel(p, height, width)
-    both = F.arrays_zip(tx.alias("a"), ty.alias("b"), px.alias("c"), py.alias("d"))
+def with_gradients(pairs: DataFrame, height: int, width: int) -> DataFrame:
+    """pairs (t, p) with tx, ty, px, py, worked out once for all losses that take them."""
+    (tx, ty), (px, py) = sobel(F.col("t"), height, width), sobel(F.col("p"), height, width)
+    return pairs.select("*", tx.alias("tx"), ty.alias("ty"), px.alias("px"), py.alias("py"))
+
+
+def normal_loss() -> Column:
+    """Mean of |1 - cosine| between the normals (-gx, -gy, 1) of two surfaces, from with_gradients()."""
 
     def miss(s: Column) -> Column:
-        dot = s["a"] * s["c"] + s["b"] * s["d"] + 1.0
-        return F.abs(1.0 - dot / (F.sqrt(s["a"] * s["a"] + s["b"] * s["b"] + 1.0) * F.sqrt(s["c"] * s["c"] + s["d"] * s["d"] + 1.0)))
+        dot = s["tx"] * s["px"] + s["ty"] * s["py"] + 1.0
+        return F.abs(1.0 - dot / (F.sqrt(s["tx"] * s["tx"] + s["ty"] * s["ty"] + 1.0) * F.sqrt(s["px"] * s["px"] + s["py"] * s["py"] + 1.0)))
 
-    return mean(F.transform(both, miss))
+    return mean(F.transform(F.arrays_zip("tx", "ty", "px", "py"), miss))
 
 
-def gradient_losses(t: Column, p: Column, height: int, width: int) -> tuple[Column, Column]:
-    (tx, ty), (px, py) = sobel(t, height, width), sobel(p, height, width)
-    return log_l1(tx, px), log_l1(ty, py)
+def gradient_losses() -> tuple[Column, Column]:
+    return log_l1(F.col("tx"), F.col("px")), log_l1(F.col("ty"), F.col("py"))
 
 
 def multiscale(t: Column, p: Column, height: int, width: int) -> Column:

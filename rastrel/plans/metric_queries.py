@@ -126,18 +126,17 @@ _GRADIENTS = f"""{PAIRS}, g AS (SELECT tile_id, i, t[i + 1] AS t, p[i + 1] AS p,
 @query(f"""WITH {_GRADIENTS} SELECT tile_id, round(avg(ln(abs(t - p) + 0.5)), 9) AS depth, round(avg(ln(abs(a - c) + 0.5)), 9) AS dx, round(avg(ln(abs(b - d) + 0.5)), 9) AS dy,
            round(avg(abs(1 - (a * c + b * d + 1) / (sqrt(a * a + b * b + 1) * sqrt(c * c + d * d + 1)))), 9) AS normal FROM g GROUP BY tile_id""")
 def gradient_normal_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, p = F.col("t"), F.col("p")
-    dx, dy = losses.gradient_losses(t, p, _SIDE, _SIDE)
-    parts = {"depth": metrics.log_l1(t, p), "dx": dx, "dy": dy, "normal": losses.normal_loss(t, p, _SIDE, _SIDE)}
-    return model.pairs(spark, sf_dir).select("tile_id", *[F.round(v, 9).alias(k) for k, v in parts.items()])
+    rows = losses.with_gradients(model.pairs(spark, sf_dir), _SIDE, _SIDE)
+    dx, dy = losses.gradient_losses()
+    parts = {"depth": metrics.log_l1(F.col("t"), F.col("p")), "dx": dx, "dy": dy, "normal": losses.normal_loss()}
+    return rows.select("tile_id", *[F.round(v, 9).alias(k) for k, v in parts.items()])
 
 
 @query(f"""WITH {_GRADIENTS}, m AS (SELECT tile_id, avg(ln(abs(t - p) + 0.5)) + avg(ln(abs(a - c) + 0.5)) + avg(ln(abs(b - d) + 0.5)) + avg(abs(1 - (a * c + b * d + 1) / (sqrt(a * a + b * b + 1) * sqrt(c * c + d * d + 1)))) AS s FROM g GROUP BY tile_id)
     SELECT count(*) AS n, round(avg(s), 9) AS loss FROM m""")
 def log_l1_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, p = F.col("t"), F.col("p")
-    dx, dy = losses.gradient_losses(t, p, _SIDE, _SIDE)
-    rows = model.pairs(spark, sf_dir).select((metrics.log_l1(t, p) + dx + dy + losses.normal_loss(t, p, _SIDE, _SIDE)).alias("s"))
+    dx, dy = losses.gradient_losses()
+    rows = losses.with_gradients(model.pairs(spark, sf_dir), _SIDE, _SIDE).select((metrics.log_l1(F.col("t"), F.col("p")) + dx + dy + losses.normal_loss()).alias("s"))
     return rows.agg(F.count("s").alias("n"), F.round(F.avg("s"), 9).alias("loss"))
 
 
