@@ -245,12 +245,26 @@ def near_groups(docs: DataFrame, width: int = WIDTH, least: int = LEAST, groups:
     return out.withColumn("kept", same(F.col("doc_id"), F.col("component_id")))
 
 
+def _row(docs: DataFrame) -> Column:
+    """What tells the rows of docs apart: the doc_id, present ones first, and a hash of the whole row."""
+    named = [(F.col(f"`{c}`"), kind) for c, kind in docs.dtypes]
+    row = F.xxhash64(*[c for c, kind in named if "map<" not in kind], *[c.isNull() for c, _ in named])
+    return F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), row.alias("row"))
+
+
 def drop_near(docs: DataFrame, **settings: int) -> DataFrame:
-    """The rows of docs, with all their columns, of which one of each component stays. Rows that repeat a doc_id are
-    one document: one of them stays."""
-    marks = materialise(near_groups(docs, **settings), "marks")
+    """The rows of docs, with all their columns, of which one row of each component stays: one with its least doc_id,
+    or without an id if no row of it has one. Rows are decided on one by one, by their own texts, whatever ids they
+    share or lack. Rows without words are in no component, so that all of them stay."""
+    keyed = docs.select("*", _row(docs).alias("_row"))
+    marks = materialise(near_groups(keyed.select(F.col("_row").alias("doc_id"), "text"), **settings), "marks")
     gone = marks.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     gone = small(gone, gone.count())
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    twice = marks.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id"]) if twice else left
+    left = keyed.join(gone, same(F.col("_row"), F.col("_gone")), "left_anti")
+    again = marks.where("kept and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = materialise(again.select(F.col("doc_id").alias("_again")), "again")
+    if count := again.count():  # rows alike in every column
+        again = small(again, count)
+        alike = same(F.col("_row"), F.col("_again"))
+        left = left.join(again, alike, "left_anti").union(left.join(again, alike, "left_semi").dropDuplicates(["_row"]))
+    return left.drop("_row")

@@ -190,6 +190,19 @@ def test_drop_near(spark):
     assert sorted((r["doc_id"] for r in left.collect()), key=repr) == [1, 2, 4, None]
 
 
+def test_drop_near_by_row(spark):
+    text, other, third, fourth = (" ".join(f"{c}{i}" for i in range(60)) for c in "tuvw")
+    left = lambda rows: sorted(((r["doc_id"], r["text"]) for r in neardup.drop_near(docs_of(spark, rows)).collect()), key=repr)
+    in_order = lambda rows: sorted(rows, key=repr)
+    # rows without an id, while a kept id is repeated
+    assert left([(1, text), (1, text), (None, other), (None, third), (None, None), (None, None)]) == in_order([(1, text), (None, other), (None, third), (None, None), (None, None)])
+    # a group without ids, alike in all or but for a word, and a row without an id that is near one with
+    group = left([(None, text), (None, text), (None, text + " end"), (None, other + " end"), (7, other), (None, third)])
+    assert len(group) == 3 and {(7, other), (None, third)} < set(group) and all(t.startswith(text) for _, t in set(group) - {(7, other), (None, third)})
+    # an id with two texts, of which one is near another document's; and one with two texts of their own
+    assert left([(1, text), (2, text + " end"), (2, other), (3, third), (3, fourth)]) == in_order([(1, text), (2, other), (3, third), (3, fourth)])
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(500, 500)]
