@@ -1,15 +1,17 @@
 """Licence notices in whole texts, by DataFrame functions alone.
 
-A paragraph is a line. Its words and pairs of words, those the model knows, are the features of a sparse multinomial
-logistic regression over the licence families and an unknown class; its probabilities are calibrated by a temperature
-found on held-out rows. A paragraph counts for a family if the family's probability is high enough and most of the
-word pairs of one of its templates are there. Only fitting, on templates and a bounded sample of the corpus, is done
-on the driver.
+A paragraph is a line; a notice is looked for in every line and in every stretch of words, over line ends too, that
+holds most of the word pairs of a template. The words and pairs of words of either, those the model knows, are the
+features of a sparse multinomial logistic regression over the licence families and an unknown class; its probabilities
+are calibrated by a temperature found on held-out rows. A line or stretch counts for a family if the family's
+probability is high enough and most of the word pairs of one of its templates are there; so a line or block can hold
+notices of several families. Only fitting, on templates and a bounded sample of the corpus, is done on the driver.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,11 +83,18 @@ VARIANTS = 12
 SURE = 0.8
 CONFIRM = 0.6
 UNKNOWN = "unknown"
+#: A stretch of words holds at most so many times the words of its template; SIDE neighbours in order cover its overlaps.
+REACH = 2
+SIDE = 3 * REACH * max(len(t.split()) + 9 for ts in TEMPLATES.values() for t in ts)
+
+
+def _cut(text: str) -> list[str]:
+    return re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
 
 
 def grams(text: str) -> set[str]:
     """Words and pairs of neighbours, lower-cased."""
-    words = re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
+    words = _cut(text)
     return {w for w in words if w not in STOP} | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if not (a in STOP and b in STOP)}
 
 
@@ -183,7 +192,24 @@ def train(docs: DataFrame, most: int = SAMPLE_DOCS) -> Model:
 
 def _words(text: Column) -> Column:
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.split(low, "[^a-z0-9]+")
+    return F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w != "")
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once; the optimiser may repeat what a column of an inner select says."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _with(s: Column, kept: tuple[str, ...], **more: Column) -> Column:
+    return F.struct(*[s[c].alias(c) for c in kept], *[v.alias(c) for c, v in more.items()])
+
+
+def _pairs(words: Column) -> Column:
+    return F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _grams(words: Column) -> Column:
+    return F.array_distinct(F.concat(words, _pairs(words)))
 
 
 def _table(rows: list[list[float]]) -> Column:
@@ -191,51 +217,109 @@ def _table(rows: list[list[float]]) -> Column:
 
 
 def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_paragraphs, found: the array of (at, family, probability, likeness) of the lines of every row of docs
-    (doc_id, text) that a family's probability and template confirm.
+    """doc_id, n_paragraphs, found: the array of (at, family, probability, likeness) of the lines and stretches of words
+    of every row of docs (doc_id, text) that a family's probability and template confirm; at is the line in which one
+    starts.
 
-    A line without any word of the model has the unknown class's score, so texts without such words are passed over
-    early. Null and empty texts have one empty paragraph and no finding; repeated rows are found each; an empty table
+    A stretch runs from one of a template's pairs to the last one new in reach. Of stretches that overlap, of
+    whatever family, the likest stays, and none that touches a line found for its family. Texts without most pairs of any template are
+    passed over early. Null and empty texts have one empty paragraph and no finding; repeated rows are found each; an empty table
     gives no rows; other columns are ignored. Nothing is shuffled.
     """
-    cues = F.array(*[F.lit(w) for w in sorted({w for g in model.vocabulary for w in g.split(" ") if w not in STOP})])
     vocabulary = F.array(*[F.lit(g) for g in model.vocabulary])
     weights = _table((model.weights / model.temperature).tolist())
     bias = F.array(*[F.lit(float(b)) for b in model.bias / model.temperature])
     families = F.array(*[F.lit(f) for f in model.families])
-    templates = F.array(*[F.struct(F.lit(f).alias("family"), F.array(*[F.lit(g) for g in sorted(pairs(grams(t)))]).alias("grams")) for f in sorted(TEMPLATES) for t in TEMPLATES[f]])
+    known = [(f, len(_cut(t)), sorted(pairs(grams(t)))) for f in sorted(TEMPLATES) for t in TEMPLATES[f]]
+    templates = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(REACH * n).alias("reach"), F.array(*[F.lit(g) for g in gs]).alias("grams")) for f, n, gs in known])
+    every = F.array(*[F.lit(g) for g in sorted({g for _, _, gs in known for g in gs})])
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n", -1)
-    none = F.array().cast("array<struct<at:int,line:string>>")
-    near = F.filter(F.transform(lines, lambda p, i: F.struct(i.cast("int").alias("at"), p.alias("line"))), lambda s: F.arrays_overlap(_words(s["line"]), cues))
-    rows = docs.select("doc_id", F.size(lines).cast("long").alias("n_paragraphs"), F.when(F.arrays_overlap(_words(text), cues), near).otherwise(none).alias("_near"))
+
+    def likely(found: Column) -> Column:
+        """The templates of which most pairs are there."""
+        return F.filter(templates, lambda t: F.size(F.array_intersect(t["grams"], found)) >= CONFIRM * F.size(t["grams"]))
+
+    def hits(t: Column, every_pair: Column) -> Column:
+        at = F.filter(F.transform(every_pair, lambda g, i: F.struct(i.cast("int").alias("i"), g.alias("g"))), lambda h: F.array_contains(t["grams"], h["g"]))
+        return F.struct(t["grams"].alias("grams"), t["reach"].alias("reach"), at.alias("hits"))
+
+    def windows(t: Column) -> Column:
+        """From each of the template's pairs on, the pairs that are in reach."""
+        return F.transform(t["hits"], lambda h, k: F.struct(h["i"].alias("first"), t["grams"].alias("grams"), F.filter(F.slice(t["hits"], k + 1, t["reach"]), lambda x: x["i"] < h["i"] + t["reach"]).alias("hits")))
+
+    def ends(w: Column) -> Column:
+        return F.struct(w["first"].alias("first"), w["grams"].alias("grams"), w["hits"].alias("hits"), F.array_distinct(w["hits"]["g"]).alias("seen"))
+
+    def stretch(w: Column) -> Column:
+        last = F.get(w["hits"], F.array_position(w["hits"]["g"], F.element_at(w["seen"], -1)) - 1)["i"] + 1
+        return F.struct(w["first"].alias("first"), last.alias("last"))
+
+    def stretches(wanted: Column, every_pair: Column) -> Column:
+        met = F.flatten(F.transform(F.transform(wanted, lambda t: hits(t, every_pair)), windows))
+        met = F.filter(F.transform(met, ends), lambda w: F.size(w["seen"]) >= CONFIRM * F.size(w["grams"]))
+        return F.array_distinct(F.transform(met, stretch))
+
+    def of_line(p: Column) -> Column:
+        return F.struct(p["at"].alias("at"), p["at"].alias("to"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), p["words"].alias("words"))
+
+    def of_words(w: Column, flat: Column) -> Column:
+        at = lambda k: F.get(flat["at"], w[k])
+        return F.struct(at("first").alias("at"), at("last").alias("to"), w["first"].alias("first"), w["last"].alias("last"), F.slice(flat["words"], w["first"] + 1, w["last"] - w["first"] + 1).alias("words"))
+
+    def near(cut: Column, wanted: Column) -> Column:
+        """The lines and the stretches of a text."""
+        places = F.flatten(F.transform(cut, lambda p: F.array_repeat(p["at"], F.size(p["words"]))))
+        flat = F.struct(places.alias("at"), F.flatten(cut["words"]).alias("words"))
+        over = lambda f: _let(_pairs(f["words"]), lambda g: F.transform(stretches(wanted, g), lambda w: of_words(w, f)))
+        return F.concat(F.transform(F.filter(cut, lambda p: F.size(p["words"]) > 0), of_line), _let(flat, over))
+
+    cut = F.transform(lines, lambda p, i: F.struct(i.cast("int").alias("at"), _words(p).alias("words")))
 
     def features(s: Column) -> Column:
-        words = F.filter(_words(s["line"]), lambda w: w != "")
-        return F.struct(s["at"].alias("at"), F.array_distinct(F.concat(words, F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b)))).alias("grams"))
+        return _with(s, ("at", "to", "first", "last"), grams=_grams(s["words"]))
 
     def logits(s: Column) -> Column:
         known = F.array_intersect(F.filter(s["grams"], lambda g: g.isNotNull()), vocabulary)
         total = F.aggregate(F.array_sort(known), bias, lambda acc, g: F.zip_with(acc, F.get(weights, F.array_position(vocabulary, g) - 1), lambda x, y: x + y))
-        return F.struct(s["at"].alias("at"), s["grams"].alias("grams"), total.alias("z"))
+        return _with(s, ("at", "to", "first", "last", "grams"), z=total)
 
     def best(s: Column) -> Column:
         top = F.array_max(s["z"])
         family = F.get(families, F.array_position(s["z"], top) - 1)
-        return F.struct(s["at"].alias("at"), s["grams"].alias("grams"), family.alias("family"), (1 / F.aggregate(s["z"], F.lit(0.0), lambda a, z: a + F.exp(z - top))).alias("probability"))
+        return _with(s, ("at", "to", "first", "last", "grams"), family=family, probability=1 / F.aggregate(s["z"], F.lit(0.0), lambda a, z: a + F.exp(z - top)))
 
     def confirmed(s: Column) -> Column:
         shares = F.transform(F.filter(templates, lambda t: t["family"] == s["family"]), lambda t: F.size(F.array_intersect(t["grams"], s["grams"])) / F.size(t["grams"]))
-        return F.struct(s["at"].alias("at"), s["family"].alias("family"), s["probability"].alias("probability"), F.coalesce(F.array_max(shares), F.lit(0.0)).alias("likeness"))
+        return _with(s, ("at", "to", "first", "last", "family", "probability"), likeness=F.coalesce(F.array_max(shares), F.lit(0.0)))
+
+    def apart(s: Column, k: Column, d: Column) -> Column:
+        """Whether a stretch is in no line found for the family, and none that it overlaps is better."""
+        beside = F.slice(d["over"], F.greatest(k + 1 - SIDE, F.lit(1)), 2 * SIDE + 1)
+        rank = lambda x: F.struct(x["likeness"], x["first"] - x["last"], -x["first"])
+        better = lambda x: (x["first"] <= s["last"]) & (x["last"] >= s["first"]) & (rank(x) > rank(s))
+        return ~F.exists(d["lines"], lambda x: (x["family"] == s["family"]) & x["at"].between(s["at"], s["to"])) & ~F.exists(beside, better)
+
+    out = lambda s: F.struct(*[s[c].alias(c) for c in ("at", "family", "probability", "likeness")])
+
+    def settled(kept: Column) -> Column:
+        order = F.transform(F.filter(kept, lambda s: s["first"] >= 0), lambda s: F.struct(*[s[c].alias(c) for c in ("first", "last", "family", "at", "to", "probability", "likeness")]))
+        both = F.struct(F.filter(kept, lambda s: s["first"] < 0).alias("lines"), F.array_sort(order).alias("over"))
+        return _let(both, lambda d: F.array_sort(F.concat(F.transform(d["lines"], out), F.transform(F.filter(d["over"], lambda s, k: apart(s, k, d)), out))))
+
+    def judged(wanted: Column) -> Column:
+        found = F.transform(F.transform(F.transform(F.transform(_let(cut, lambda c: near(c, wanted)), features), logits), best), confirmed)
+        kept = F.filter(found, lambda s: (s["family"] != UNKNOWN) & (s["probability"] >= SURE) & (s["likeness"] >= CONFIRM))
+        return _let(kept, settled)
 
-    found = F.transform(F.transform(F.transform(F.transform("_near", features), logits), best), confirmed)
-    kept = F.filter(found, lambda s: (s["family"] != UNKNOWN) & (s["probability"] >= SURE) & (s["likeness"] >= CONFIRM))
-    return rows.select("doc_id", "n_paragraphs", kept.alias("found"))
+    none = F.array().cast("array<struct<at:int,family:string,probability:double,likeness:double>>")
+    found = _let(_let(F.array_intersect(_let(_words(text), _pairs), every), likely), lambda wanted: F.when(F.size(wanted) > 0, judged(wanted)).otherwise(none))
+    return docs.select("doc_id", F.size(lines).cast("long").alias("n_paragraphs"), found.alias("found"))
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_paragraphs, n_licensed, families (distinct, in order, comma-joined), probability (the highest; null
+    """doc_id, n_paragraphs, n_licensed (lines in which a notice starts), families (distinct, in order, comma-joined), probability (the highest; null
     without a licence)."""
     rows = paragraphs(docs, model)
     names = F.array_join(F.array_sort(F.array_distinct(F.col("found.family"))), ",")
-    return rows.select("doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_licensed"), names.alias("families"), F.round(F.array_max(F.col("found.probability")), 6).alias("probability"))
+    return rows.select("doc_id", "n_paragraphs", F.size(F.array_distinct("found.at")).cast("long").alias("n_licensed"), names.alias("families"), F.round(F.array_max(F.col("found.probability")), 6).alias("probability"))

@@ -517,6 +517,21 @@ def test_licences(spark, odd):
     assert licenses.train(docs_of(spark, [])).judge("Released under the MIT License.")[0] == "mit"
 
 
+def test_licences_over_lines(spark):
+    rng = random.Random(15)
+    model = licenses.fit([prose(rng, 30) for _ in range(300)])
+    wrapped = {
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+        "mit": " * Permission is hereby granted, free of charge, to any person obtaining\n * a copy of this software and associated documentation files",
+        "apache-2.0": "# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an AS IS BASIS",
+        "cc-by-sa": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+    }
+    rows = [(name, f"{prose(rng, 12)}\n\n{notice}\n{prose(rng, 12)}") for name, notice in wrapped.items()]
+    rows += [("apache-2.0,mit", f"{prose(rng, 9)} Licensed under the MIT License. {prose(rng, 9)} Licensed under the Apache License, Version 2.0. {prose(rng, 9)}")]
+    got = [(r["families"], r["n_licensed"]) for r in licenses.scan(docs_of(spark, list(enumerate(t for _, t in rows))), model).orderBy("doc_id").collect()]
+    assert got == [(name, 1) for name, _ in rows]
+
+
 # ---- 10 exact duplicates
 
 
