@@ -20,6 +20,11 @@ from pyspark.sql import functions as F
 
 #: Short notices by family.
 TEMPLATES = {
+    "agpl-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "Licensed under the GNU Affero General Public License v3.0.",
+    ),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -42,11 +47,22 @@ TEMPLATES = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ),
+    "gpl-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+        "Licensed under the GNU General Public License v2.0.",
+    ),
     "gpl-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "Licensed under the GNU General Public License v3.0.",
     ),
+    "lgpl": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "Licensed under the GNU Lesser General Public License v2.1.",
+        "Licensed under the GNU Lesser General Public License v3.0.",
+    ),
     "mit": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",

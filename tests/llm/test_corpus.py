@@ -532,6 +532,19 @@ def test_licences_over_lines(spark):
     assert got == [(name, 1) for name, _ in rows]
 
 
+def test_licences_of_gnu_kinds(spark):
+    rng = random.Random(16)
+    model = licenses.fit([prose(rng, 30) for _ in range(300)])
+    program = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation"
+    notices = [
+        ("lgpl", "Licensed under the GNU Lesser General Public License v3.0."), ("agpl-3.0", "Licensed under the GNU Affero General Public License v3.0."),
+        ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2."), ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
+        ("lgpl", program.format("Lesser ")), ("agpl-3.0", program.format("Affero ")), ("gpl-3.0", program.format("")),
+    ]
+    got = [r["families"] for r in licenses.scan(docs_of(spark, list(enumerate(t for _, t in notices))), model).orderBy("doc_id").collect()]
+    assert got == [name for name, _ in notices]
+
+
 # ---- 10 exact duplicates
 
 
