@@ -3,7 +3,7 @@
 Two collections of GROUPS short bands of ROWS minhashes each stand for GROUPS^2 tables: the key of table (i, j) joins
 band i of the first and band j of the second collection. So 2 * GROUPS * ROWS minhashes, here 54, serve 81 tables of
 keys of 6 minhashes, where one band per table would need 486. A pair of similarity s meets in some table with
-probability (1 - (1 - s^ROWS)^GROUPS)^2: 0.9996 at 0.85, 0.999 at 0.8, above that nearly 1.
+probability (1 - (1 - s^ROWS)^GROUPS)^2: 0.9996 at 0.85, 0.9969 at 0.8, above that nearly 1.
 
 Texts with equal shingle sets are one class from the start. Of classes that share a key, each is compared with the
 least, and components follow. The classes of keys that are then still in several components are compared once more,
