@@ -203,7 +203,7 @@ def train(docs: DataFrame, most: int = SAMPLE_DOCS) -> Model:
     last = found.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
     lines = F.min(F.slice(F.split("text", "\n"), 1, LINES)).alias("lines")
     rows = found.where(F.col("h") <= F.lit(last)).groupBy("h").agg(lines).orderBy("h").collect()  # most rows at most
-    return fit([line[:2000] for r in rows for line in r["lines"] if line.strip()])
+    return fit([line for r in rows for line in r["lines"] if line.strip()])
 
 
 def _words(text: Column) -> Column:

@@ -545,6 +545,11 @@ def test_licences_of_gnu_kinds(spark):
     assert got == [name for name, _ in notices]
 
 
+def test_licence_sample_takes_whole_lines(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "fit", list)
+    assert licenses.train(docs_of(spark, [(1, "word " * 1000)])) == ["word " * 1000]
+
+
 # ---- 10 exact duplicates
 
 
