@@ -6,6 +6,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import math
 import random
 import re
 import zlib
@@ -228,22 +229,63 @@ def test_components(spark):
 
 
 def brute_matches(rows, items):
+    """(doc_id, item_id): passage_start, score, overlap, answer_overlap, by the rules and no index."""
     token = re.compile(r"[a-z0-9\u0080-\U0010ffff]+")
     cut = lambda t: token.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-    out = set()
-    for item_id, text in items:
-        w = cut(text)
-        k = min(5, len(w))
-        if not k:
-            continue
-        runs = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    items = [(i, t, cut(t)) for i, t in sorted(set(items), key=repr) if cut(t)]
+    n, mean = len(items), sum(len(w) for _, _, w in items) / max(1, len(items))
+    df = Counter(w for _, _, words in items for w in set(words))
+    out = {}
+    for item_id, text, words in items:
+        parts = re.split(r"(?<=[.?!])\s+", text.strip())
+        question, answer = (cut(" ".join(parts[:-1])), set(cut(parts[-1]))) if len(parts) > 1 else (words, set())
+        if not question or not answer:
+            question, answer = words, set()
+        k = min(5, len(question))
+        runs = {tuple(question[i : i + k]) for i in range(len(question) - k + 1)}
+        idf = {w: math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) for w in words}
+        impact = {w: idf[w] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(words) / mean)) for w, c in Counter(words).items()}
+        stride = max(16, 1 << (len(words) - 1).bit_length())
         for doc_id, t in rows:
             d = cut(t)
-            if len(runs & {tuple(d[i : i + k]) for i in range(len(d) - k + 1)}) == len(runs):
-                out.add((doc_id, item_id))
+            best = (0, 0.0)
+            for lo in range(0, len(d), stride):
+                p = d[lo : lo + 2 * stride]
+                seen = set(p)
+                score = sum(v for w, v in impact.items() if w in seen) / sum(impact.values())
+                overlap = len(runs & {tuple(p[i : i + k]) for i in range(len(p) - k + 1)}) / len(runs)
+                share = len(answer & seen) / len(answer) if answer else 1.0
+                if score >= 0.5 and overlap >= 0.8 and share >= 0.5 and (overlap, round(score, 9)) > best:
+                    best = (overlap, round(score, 9))
+                    out[doc_id, item_id] = (lo, round(score, 6), round(overlap, 9), round(share, 9))
     return out
 
 
+def found_matches(frame):
+    return {(r["doc_id"], r["item_id"]): (r["passage_start"], round(r["score"], 6), round(r["overlap"], 9), round(r["answer_overlap"], 9)) for r in frame.collect()}
+
+
+def test_decontaminate_whatever_the_index(spark, odd):
+    """Passages, scores and overlaps are those of brute force for any cut into indexes, with and without a long item."""
+    rng = random.Random(15)
+    items = [(i, ". ".join(prose(rng, rng.randrange(4, 40), 90).capitalize() for _ in range(rng.randrange(1, 4))) + ".") for i in range(9)]
+    rows = [(r[0], r[1]) for r in odd if r[0] not in (None, 5)] + [(i, prose(rng, rng.choice([3, 50, 300]), 90)) for i in range(100, 160)]
+    for i in range(300, 340):
+        words = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = "zz"
+        torn = rng.choice([[], [], prose(rng, 300, 90).split()])
+        at = rng.randrange(len(words))
+        rows.append((i, " ".join([prose(rng, rng.randrange(80), 90), *words[:at], *torn, *words[at:], prose(rng, rng.randrange(80), 90)])))
+    docs = docs_of(spark, rows)
+    for more in ([], [(99, prose(rng, 2000, 900)), (3, items[3][1])]):
+        want = brute_matches(rows, items + more)
+        bench = spark.createDataFrame(items + more, "item_id int, text string")
+        assert len(want) > 10
+        for most in (1, 10, 20_000) if not more else (5, 20_000):
+            assert found_matches(decontaminate.matches(docs, bench, most)) == want
+
+
 def test_decontaminate(spark, odd):
     rng = random.Random(5)
     items = [(i, ". ".join(prose(rng, rng.randrange(8, 20), 60).capitalize() for _ in range(2)) + ".") for i in range(60)] + [(90, None), (91, ""), (92, "ab Cd"), (93, "?!")]
@@ -255,7 +297,7 @@ def test_decontaminate(spark, odd):
     bench = spark.createDataFrame(items, "item_id int, text string")
     for most in (decontaminate.INDEX_ITEMS, 20):  # one index, and several in turn
         got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs_of(spark, rows), bench, most).collect()}
-        assert got == brute_matches(rows, items) and len(got) >= 41
+        assert got == set(brute_matches(rows, items)) and len(got) >= 41
     left = decontaminate.drop_contaminated(docs_of(spark, rows), bench)
     assert left.columns == docs_of(spark, rows).columns
     bad = {d for d, _ in got}
@@ -280,22 +322,26 @@ def test_retrieval_misses_nothing(monkeypatch):
     """Every passage and item with a score above the threshold is retrieved: WAND against scoring all."""
     rng = random.Random(7)
     items = [(i, prose(rng, rng.randrange(5, 25), 80)) for i in range(70)]
-    index = decontaminate.Index(items, threshold=0.3)
     hasher = W.Words(W.MARKS)
+    cut = [decontaminate.hasher_words(hasher, t) for _, t in items]
+    vocabulary, df = np.unique(np.concatenate([np.unique(w) for w in cut]), return_counts=True)
+    index = decontaminate.Index(items, decontaminate.Statistics(70, sum(map(len, cut)) / 70, vocabulary, df), threshold=0.3)
     text = prose(rng, 3000, 80)
     monkeypatch.setattr(decontaminate, "CELLS", 7)
     words = decontaminate.hasher_words(hasher, text)
     ends = np.array([0, 1000, 1000, len(words)])
-    got = {(d, lo, i) for d, lo, _, i, _ in index.candidates(words, ends)}
-    want = set()
-    for d in range(3):
-        for lo in range(int(ends[d]), int(ends[d + 1]), index.stride):
-            seen = set(words[lo : min(lo + 2 * index.stride, int(ends[d + 1]))].tolist())
-            for i in range(len(index.items)):
-                span = slice(index.terms[i], index.terms[i + 1])
-                if sum(w for t, w in zip(index.term[span], index.impact[span], strict=True) if int(index.vocabulary[t]) in seen) >= 0.3:
-                    want.add((d, lo, i))
-    assert got == want and want
+    assert len(index.shelves) == 2
+    for shelf in index.shelves:
+        got = {(d, lo, i) for d, lo, _, i, _ in shelf.candidates(*index.known(words), ends)}
+        want = set()
+        for d in range(3):
+            for lo in range(int(ends[d]), int(ends[d + 1]), shelf.stride):
+                seen = set(words[lo : min(lo + 2 * shelf.stride, int(ends[d + 1]))].tolist())
+                for i in range(len(shelf.items)):
+                    span = slice(shelf.starts[i], shelf.starts[i + 1])
+                    if sum(w for t, w in zip(shelf.term[span], shelf.impact[span], strict=True) if int(index.vocabulary[t]) in seen) >= 0.3:
+                        want.add((d, lo, i))
+        assert got == want and want
 
 
 # ---- 4 WARC
