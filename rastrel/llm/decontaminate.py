@@ -20,6 +20,8 @@ import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -138,17 +140,22 @@ class Shelf:
         total = int(first[-1])
         follows = np.ones(total, bool)
         follows[first[1:][cells > 0] - 1] = False
+        flag = np.zeros(len(self.place), bool)
         for low in range(0, total, CELLS):
-            for c, block in self._reached(once, low, min(total, low + CELLS), follows):
+            for c, blocks in groupby(self._reached(once, low, min(total, low + CELLS), follows), key=itemgetter(0)):
                 d = int(np.searchsorted(first, c, side="right")) - 1
                 lo = int(ends[d] + (c - first[d]) * self.stride)
                 hi = min(lo + 2 * self.stride, int(ends[d + 1]))
-                seen = np.unique(term[np.searchsorted(at, lo) : np.searchsorted(at, hi)])
-                for i in range(block * self.per_block, min((block + 1) * self.per_block, len(self.items))):
-                    span = slice(self.starts[i], self.starts[i + 1])
-                    score = float(self.impact[span][np.isin(self.term[span], seen, assume_unique=True)].sum())
-                    if score >= self.threshold:
-                        yield d, lo, hi, i, score
+                seen = term[np.searchsorted(at, lo) : np.searchsorted(at, hi)]
+                flag[seen] = True
+                for _, block in blocks:
+                    i = block * self.per_block
+                    starts = self.starts[i : i + self.per_block + 1]
+                    span = slice(starts[0], starts[-1])
+                    scores = np.add.reduceat(np.where(flag[self.term[span]], self.impact[span], 0.0), starts[:-1] - starts[0])
+                    for k in np.flatnonzero(scores >= self.threshold).tolist():
+                        yield d, lo, hi, i + k, float(scores[k])
+                flag[seen] = False
 
     def _reached(self, once: np.ndarray, low: int, high: int, follows: np.ndarray) -> Iterator[tuple[int, int]]:
         """The passages from cells low to high, each a cell and the one that follows it in its text, with the blocks
@@ -198,11 +205,21 @@ def hasher_words(hasher: Words, text: str) -> np.ndarray:
     return hasher.hashes(data, np.array([0, len(data)]))[0]
 
 
-def overlaps(item: Item, passage: np.ndarray) -> tuple[float, float]:
-    """The shares of the question's runs and of the answer's words that the passage has; without an answer 1."""
-    runs = shingles(passage, np.array([0, len(passage)]), item.width)[0]
-    answer = float(np.isin(item.answer, passage).mean()) if len(item.answer) else 1.0
-    return float(np.isin(item.runs, runs).mean()), answer
+def passage_runs(passage: np.ndarray, width: int) -> np.ndarray:
+    return np.unique(shingles(passage, np.array([0, len(passage)]), width)[0])
+
+
+def overlaps(item: Item, words: np.ndarray, runs: np.ndarray) -> tuple[float, float]:
+    """The shares of the question's runs and of the answer's words that a passage has, its distinct words and runs
+    given in order; without an answer 1."""
+    answer = float(_in(item.answer, words).mean()) if len(item.answer) else 1.0
+    return float(_in(item.runs, runs).mean()), answer
+
+
+def _in(some: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(ordered, some)
+    at[at == len(ordered)] = 0
+    return ordered[at] == some
 
 
 def _found(index: Index, batch: pa.RecordBatch, hasher: Words) -> dict[tuple[int, int, int], tuple[int, float, float, float]]:
@@ -213,10 +230,15 @@ def _found(index: Index, batch: pa.RecordBatch, hasher: Words) -> dict[tuple[int
         return best
     at, term = index.known(words)
     for k, shelf in enumerate(index.shelves):
-        for d, lo, hi, i, score in shelf.candidates(at, term, ends):
-            overlap, answer = overlaps(shelf.items[i], words[lo:hi])
-            if overlap >= OVERLAP and answer >= ANSWER and (overlap, score) > best.get((d, k, i), (0, 0.0, 0.0, 0.0))[2:0:-1]:
-                best[d, k, i] = (lo - int(ends[d]), score, overlap, answer)
+        for (d, lo, hi), rows in groupby(shelf.candidates(at, term, ends), key=itemgetter(0, 1, 2)):
+            once, runs = np.unique(words[lo:hi]), {}
+            for _, _, _, i, score in rows:
+                item = shelf.items[i]
+                if item.width not in runs:
+                    runs[item.width] = passage_runs(words[lo:hi], item.width)
+                overlap, answer = overlaps(item, once, runs[item.width])
+                if overlap >= OVERLAP and answer >= ANSWER and (overlap, score) > best.get((d, k, i), (0, 0.0, 0.0, 0.0))[2:0:-1]:
+                    best[d, k, i] = (lo - int(ends[d]), score, overlap, answer)
     return best
 
 

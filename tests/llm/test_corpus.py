@@ -233,6 +233,7 @@ def brute_matches(rows, items):
     token = re.compile(r"[a-z0-9\u0080-\U0010ffff]+")
     cut = lambda t: token.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     items = [(i, t, cut(t)) for i, t in sorted(set(items), key=repr) if cut(t)]
+    docs = [(doc_id, cut(t)) for doc_id, t in rows]
     n, mean = len(items), sum(len(w) for _, _, w in items) / max(1, len(items))
     df = Counter(w for _, _, words in items for w in set(words))
     out = {}
@@ -245,17 +246,18 @@ def brute_matches(rows, items):
         runs = {tuple(question[i : i + k]) for i in range(len(question) - k + 1)}
         idf = {w: math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) for w in words}
         impact = {w: idf[w] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(words) / mean)) for w, c in Counter(words).items()}
-        stride = max(16, 1 << (len(words) - 1).bit_length())
-        for doc_id, t in rows:
-            d = cut(t)
+        stride, total = max(16, 1 << (len(words) - 1).bit_length()), sum(impact.values())
+        for doc_id, d in docs:
             best = (0, 0.0)
             for lo in range(0, len(d), stride):
                 p = d[lo : lo + 2 * stride]
                 seen = set(p)
-                score = sum(v for w, v in impact.items() if w in seen) / sum(impact.values())
+                score = sum(v for w, v in impact.items() if w in seen) / total
+                if score < 0.5:
+                    continue
                 overlap = len(runs & {tuple(p[i : i + k]) for i in range(len(p) - k + 1)}) / len(runs)
                 share = len(answer & seen) / len(answer) if answer else 1.0
-                if score >= 0.5 and overlap >= 0.8 and share >= 0.5 and (overlap, round(score, 9)) > best:
+                if overlap >= 0.8 and share >= 0.5 and (overlap, round(score, 9)) > best:
                     best = (overlap, round(score, 9))
                     out[doc_id, item_id] = (lo, round(score, 6), round(overlap, 9), round(share, 9))
     return out
@@ -268,7 +270,7 @@ def found_matches(frame):
 def test_decontaminate_whatever_the_index(spark, odd):
     """Passages, scores and overlaps are those of brute force for any cut into indexes, with and without a long item."""
     rng = random.Random(15)
-    items = [(i, ". ".join(prose(rng, rng.randrange(4, 40), 90).capitalize() for _ in range(rng.randrange(1, 4))) + ".") for i in range(9)]
+    items = [(i, ". ".join(prose(rng, rng.randrange(4, 40), 90).capitalize() for _ in range(rng.randrange(1, 4))) + ".") for i in range(7)]
     rows = [(r[0], r[1]) for r in odd if r[0] not in (None, 5)] + [(i, prose(rng, rng.choice([3, 50, 300]), 90)) for i in range(100, 160)]
     for i in range(300, 340):
         words = rng.choice(items)[1].split()
@@ -282,7 +284,7 @@ def test_decontaminate_whatever_the_index(spark, odd):
         want = brute_matches(rows, items + more)
         bench = spark.createDataFrame(items + more, "item_id int, text string")
         assert len(want) > 10
-        for most in (1, 10, 20_000) if not more else (5, 20_000):
+        for most in (1, 10, 20_000) if not more else (6,):
             assert found_matches(decontaminate.matches(docs, bench, most)) == want
 
 
@@ -295,7 +297,7 @@ def test_decontaminate(spark, odd):
         rows.append((i, prose(rng, rng.randrange(200), 60) + " " + rng.choice([item, item.upper(), item.replace(" ", "\n"), item.replace(".", "")]) + " " + prose(rng, rng.randrange(200), 60)))
     rows.append((400, "say AB, cd now"))
     bench = spark.createDataFrame(items, "item_id int, text string")
-    for most in (decontaminate.INDEX_ITEMS, 20):  # one index, and several in turn
+    for most in (decontaminate.INDEX_ITEMS, 40):  # one index, and several in turn
         got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs_of(spark, rows), bench, most).collect()}
         assert got == set(brute_matches(rows, items)) and len(got) >= 41
     left = decontaminate.drop_contaminated(docs_of(spark, rows), bench)
