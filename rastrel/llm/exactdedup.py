@@ -1,7 +1,7 @@
 """Exact duplicates by content-defined chunk recipes.
 
-A text, without its white space, is cut where a hash of the bytes before a place says so: equal texts get equal
-chunks. Each chunk goes once to the chunk store, which groups by digest and bytes; if no digest there has two
+A text, without its white space, is cut where a hash of the bytes before a place says so, LEAST to MOST bytes after the
+last cut: equal texts get equal chunks. Each chunk goes once to the chunk store, which groups by digest and bytes; if no digest there has two
 different byte strings, the digest identifies the chunk and the ordered list of a text's digests, its recipe,
 identifies the text. Only recipes and ids are compared and joined; the texts move once, as chunks, already
 without the repeats inside each task.
@@ -22,8 +22,11 @@ from .words import mix
 
 #: A place is a cut if the hash of the 8 bytes before it has so many zero bits: chunks of 2 KB on average.
 CUT_BITS = 11
+LEAST = 256
+MOST = 16 << 10
 #: Bytes of chunks that a task keeps in mind to leave repeats out; then it forgets them and starts again.
 SEEN_BYTES = 8 << 20
+_SPAN = 1 << 20
 _BLANK = bytes([0x20, *range(0x09, 0x0E)])
 
 
@@ -44,26 +47,32 @@ def normalise(text: bytes) -> bytes:
     return text.translate(None, _BLANK)
 
 
-def chunks(data: bytes, bits: int = CUT_BITS) -> list[bytes]:
-    """data cut after each place whose 8 preceding bytes hash to bits zero bits; the last place is always a cut."""
-    if len(data) < 16:
-        return [data] if data else []
-    span, out, kept = 1 << 20, [], 0
-    for lo in range(0, len(data), span):
-        part = np.frombuffer(data[max(0, lo - 7) : lo + span], np.uint8)
+def _places(data: bytes, bits: int) -> Iterator[tuple[np.ndarray, int]]:
+    """The places whose 8 preceding bytes hash to bits zero bits, a span of data at a time, and the span's end."""
+    for lo in range(0, len(data), _SPAN):
+        part = np.frombuffer(data[max(0, lo - 7) : lo + _SPAN], np.uint8)
         if len(part) < 8:
-            break
+            yield np.zeros(0, np.int64), len(data)
+            return
         run = part.astype(np.uint64)
         run = run[1:] | (run[:-1] << np.uint64(8))
         run = run[2:] | (run[:-2] << np.uint64(16))
         run = run[4:] | (run[:-4] << np.uint64(32))
-        for at in (np.flatnonzero((mix(run) >> np.uint64(64 - bits)) == 0) + max(0, lo - 7) + 8).tolist():
-            if at > kept:
-                out.append(data[kept:at])
-                kept = at
-    if kept < len(data):
-        out.append(data[kept:])
-    return out
+        yield np.flatnonzero((mix(run) >> np.uint64(64 - bits)) == 0) + max(0, lo - 7) + 8, min(lo + _SPAN, len(data))
+
+
+def chunks(data: bytes, bits: int = CUT_BITS, least: int = LEAST, most: int = MOST) -> list[bytes]:
+    """data cut at the first such place from least bytes after the last cut on, or most bytes after it."""
+    out, kept = [], 0
+    for places, end in _places(data, bits):
+        while True:
+            k = int(np.searchsorted(places, kept + least))
+            at = min(int(places[k]) if k < len(places) else end + 1, kept + most)
+            if at > end:
+                break
+            out.append(data[kept:at])
+            kept = at
+    return [*out, data[kept:]] if kept < len(data) else out
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
@@ -121,8 +130,8 @@ def exact_groups(docs: DataFrame, digests: Sequence[Callable[[bytes], bytes]] =
 
     Of equal texts the row with the most code points, then the smallest doc_id, stays. Null texts are empty, and
     empty texts equal each other; rows without a doc_id come after those with one, and keep_id is null where no row
-    of the group has one; repeated rows are members like others, and rows that repeat the kept doc_id are kept too.
-    An empty table gives no rows; other columns are ignored.
+    of the group has one; ids may be of any type that has an order; repeated rows are members like others, and rows
+    that repeat the kept doc_id are kept too. An empty table gives no rows; other columns are ignored.
     """
     for digest in digests:
         store = chunk_store(docs, digest, bits)
@@ -131,8 +140,8 @@ def exact_groups(docs: DataFrame, digests: Sequence[Callable[[bytes], bytes]] =
     else:
         raise ValueError("two chunks share every digest")
     rows = materialise(recipes(docs, digest, bits), "recipes")
-    best = F.max(F.struct("n_chars", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("first")))
+    best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("first")))
     groups = rows.groupBy("recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select(F.col("recipe").alias("_recipe"), (-F.col("best.first")).alias("keep_id"), "group_size")
+    groups = groups.select(F.col("recipe").alias("_recipe"), F.col("best.first").alias("keep_id"), "group_size")
     groups = materialise(groups, "groups")  # so that the join can split a hot recipe's rows
     return rows.join(groups, rows["recipe"] == groups["_recipe"]).select("doc_id", "keep_id", "group_size", same(F.col("doc_id"), F.col("keep_id")).alias("kept"), "text_sha256", "n_chunks")

@@ -392,7 +392,36 @@ def test_warc_payloads_and_faults(spark, tmp_path):
     with pytest.raises(ValueError):
         warc.unchunked(b"5\r\nab")
     assert warc.unchunked(b"3;x=1\r\nabc\r\n0\r\nTrailer: 1\r\n\r\n") == b"abc"
-    assert [f["warc-type"] for _, f, _ in warc.parse(io.BytesIO(info + whole[0]))] == ["warcinfo", "response"]
+    assert [f["warc-type"] for f, _, _ in warc.parse(io.BytesIO(info + whole[0]))] == ["warcinfo", "response"]
+
+
+def test_warc_hostile(spark, tmp_path):
+    for body in (b"-6\r\nabcdef\r\n0\r\n\r\n", b"+3\r\nabc\r\n0\r\n\r\n", b"0x3\r\nabc\r\n0\r\n\r\n", b"1_0\r\nabc\r\n", b"\r\nabc", b"3\r\nabcde0\r\n\r\n", b"", b"f" * 400 + b"\r\n", b"3\r\nabc"):
+        with pytest.raises(ValueError):
+            warc.unchunked(body)
+    good = [next(warc.records(str(i), f"http://a/{i}", b"text %d" % i, None)) for i in range(8)]
+    cut = lambda data, n: data[: len(data) - n]
+    members = [
+        gzip.compress(good[0]), gzip.compress(b"no record\nat all\n" + good[1]), gzip.compress(good[2].replace(b"Content-Length: ", b"Content-Length: x")),
+        gzip.compress(good[3].replace(b"Content-Length: ", b"Content-Length: 99999999999")), gzip.compress(good[4].replace(b"http://a/", b"http://\xff\xfe/").replace(b"WARC-Date", b"no colon here\r\nWARC-Date")),
+        cut(gzip.compress(good[5]), 30), gzip.compress(warc.record("continuation", [("WARC-Record-ID", "<urn:y>"), ("WARC-Segment-Number", "two")], b"x")), gzip.compress(good[6]), cut(gzip.compress(good[7]), 12),
+    ]
+    (tmp_path / "bad.warc.gz").write_bytes(b"".join(members))
+    (tmp_path / "plain.warc").write_bytes(b"".join(good[:3]))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    read = lambda f: rows_of(warc.read_archives(spark, spark.createDataFrame([(str(tmp_path / f),)], "path string"), str(tmp_path), keep=True))
+    rows = read("bad.warc.gz")
+    fine = {r["page_id"]: bytes(r["payload"]) for r in rows if r["fault"] is None}
+    assert fine == {str(i): b"text %d" % i for i in (0, 1, 4, 6)}
+    faults = Counter(r["fault"] for r in rows if r["fault"])
+    assert faults["record of no length"] == 1 and faults["record cut short"] == 1 and faults["segment of no number"] == 1
+    assert faults["member that can't be unpacked"] >= 2 and faults["no WARC record here"] >= 1
+    assert [r["page_id"] for r in read("plain.warc")] == ["0", "1", "2"] and read("empty.warc") == []
+    ids = ["a\r\nWARC-Type: x", " b ", "c%20", "é", ""]
+    pages = spark.createDataFrame([(i, f"http://a/\n{k}", "same" if k < 3 else f"{k}") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    got = {r["page_id"]: r for r in rows_of(warc.round_trip(pages))}
+    assert set(got) == set(ids) and all(r["fault"] is None for r in got.values())
+    assert {i for i in got if got[i]["record_type"] == "revisit"} == {"a\r\nWARC-Type: x", "c%20"} and got["c%20"]["refers_to"] == " b "
 
 
 # ---- 5 sharding
@@ -661,6 +690,17 @@ def test_chunks():
     shifted = exactdedup.chunks(b"new start" + data)
     assert len(set(parts) & set(shifted)) > 0.99 * len(parts)
     assert exactdedup.chunks(b"") == [] and exactdedup.chunks(b"abc") == [b"abc"]
+    for data in (b"\0" * 300_000, b"a" * 4_000_000, b"ab" * 1_000_000, data[:2_000_000] + b"\0" * 100_000):
+        parts = exactdedup.chunks(data)
+        assert b"".join(parts) == data and all(exactdedup.LEAST <= len(p) <= exactdedup.MOST for p in parts[:-1])
+
+
+def test_exact_groups_of_any_id(spark):
+    least, most = -(1 << 63), (1 << 63) - 1
+    got = {r["doc_id"]: r["keep_id"] for r in exactdedup.exact_groups(docs_of(spark, [(least, "a b"), (most, "ab"), (0, "a b"), (5, "\0" * 300_000)])).collect()}
+    assert got == {least: least, most: least, 0: least, 5: 5}
+    named = spark.createDataFrame([("y", "a b"), ("x", "a b"), (None, "ab "), ("z", None)], "doc_id string, text string")
+    assert {r["doc_id"]: r["keep_id"] for r in exactdedup.exact_groups(named).collect()} == {"y": "x", "x": "x", None: "x", "z": "z"}
 
 
 # ---- the queries and the pipeline
