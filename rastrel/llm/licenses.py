@@ -1,11 +1,13 @@
 """Licence notices in whole texts, by DataFrame functions alone.
 
-A paragraph is a line; a notice is looked for in every line and in every stretch of words, over line ends too, that
-holds most of the word pairs of a template. The words and pairs of words of either, those the model knows, are the
+A paragraph is a line; a notice is looked for in every line and in every stretch of words, over line ends and comment
+marks too, that holds most of the word pairs of a template. The words and pairs of words of either, those the model knows, are the
 features of a sparse multinomial logistic regression over the licence families and an unknown class; its probabilities
 are calibrated by a temperature found on held-out rows. A line or stretch counts for a family if the family's
-probability is high enough and most of the word pairs of one of its templates are there; so a line or block can hold
-notices of several families. Only fitting, on templates and a bounded sample of the corpus, is done on the driver.
+probability is high enough, most of the word pairs of one of its templates are there, and of each likeness of another
+family to it at least one pair that only the template has; so a line or block can hold notices of several families, and
+a version or a word such as lesser decides. A text without any of the model's cues, words chosen so that no template's
+pairs can mostly be there without one, is passed over unread. Only fitting, on templates and a bounded sample of the corpus, is done on the driver.
 """
 
 from __future__ import annotations
@@ -47,6 +49,10 @@ TEMPLATES = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ),
+    "epl": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "Licensed under the Eclipse Public License v2.0.",
+    ),
     "gpl-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
         "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
@@ -57,6 +63,11 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "Licensed under the GNU General Public License v3.0.",
     ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "Licensed under the ISC License.",
+        "Released under the ISC License.",
+    ),
     "lgpl": (
         "This work is licensed under the GNU Lesser General Public License, version 3.",
         "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
@@ -82,11 +93,24 @@ TEMPLATES = {
         "This work is dedicated to the public domain under CC0 1.0 Universal.",
     ),
 }
+#: The families' identifiers in lines of the form SPDX-License-Identifier: X.
+IDENTIFIERS = {
+    "agpl-3.0": ("AGPL-3.0-only", "AGPL-3.0-or-later"), "apache-2.0": ("Apache-2.0",), "bsd": ("BSD-2-Clause", "BSD-3-Clause"), "cc-by": ("CC-BY-4.0",),
+    "cc-by-nc": ("CC-BY-NC-4.0",), "cc-by-sa": ("CC-BY-SA-4.0",), "epl": ("EPL-1.0", "EPL-2.0"), "gpl-2.0": ("GPL-2.0-only", "GPL-2.0-or-later"),
+    "gpl-3.0": ("GPL-3.0-only", "GPL-3.0-or-later"), "isc": ("ISC",), "lgpl": ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "mit": ("MIT",), "mpl-2.0": ("MPL-2.0",), "public-domain": ("CC0-1.0", "Unlicense"),
+}
+for _family, _names in IDENTIFIERS.items():
+    TEMPLATES[_family] += tuple(f"SPDX-License-Identifier: {name}" for name in _names)
+#: Share of a template's pairs from which one of another family is its likeness.
+RIVAL = 0.5
 #: Lines that share words with notices and are none.
 NEAR_MISSES = (
     "The driver showed a license at the gate.", "All rights were given to the people of the town.", "A copy of the version was released to the public.",
     "The software is free to use in the work.", "Permission to enter the building was granted by the owner.", "The general public may use the source of the river.",
     "Creative work in the commons is for any person.", "The terms of the foundation were published.", "Reserved seats are at the door.", "Version 2.0 was released under the old name.",
+    "Licensed under the Artistic License 2.0.", "Licensed under the Zlib License.", "Licensed under the European Union Public Licence v1.2.",
+    "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: BSL-1.0", "This work is licensed under the Open Data Commons license, version 1.",
     "He may obtain a copy of the file.", "The binary forms of the code are in the folder.",
 )
 #: Words that are no feature alone, nor two of them together.
@@ -118,6 +142,34 @@ def pairs(found: set[str]) -> set[str]:
     return {g for g in found if " " in g} or found
 
 
+def rivals(family: str, template: str) -> list[list[str]]:
+    """For each template of another family that has most pairs of this one too, the pairs that it lacks."""
+    mine = pairs(grams(template))
+    others = [pairs(grams(t)) for f, ts in TEMPLATES.items() if f != family for t in ts]
+    apart = {tuple(sorted(mine - o)) for o in others if len(mine & o) >= RIVAL * len(mine) and mine - o}
+    return [list(a) for a in sorted(apart)]
+
+
+def choose_cues(background: list[str]) -> tuple[str, ...]:
+    """Words, those that fewest lines of background have first, such that of every template fewer than CONFIRM of the
+    pairs are without one."""
+    often: dict[str, int] = {}
+    for line in background:
+        for w in set(_cut(line)):
+            often[w] = often.get(w, 0) + 1
+    left = {t: pairs(grams(t)) for ts in TEMPLATES.values() for t in ts}
+    least, chosen = {t: CONFIRM * len(ps) for t, ps in left.items()}, []
+    while open_ones := [t for t in left if len(left[t]) >= least[t]]:
+        gain: dict[str, int] = {}
+        for t in open_ones:
+            for w in {w for p in left[t] for w in p.split()}:
+                gain[w] = gain.get(w, 0) + sum(w in p.split() for p in left[t])
+        best = min(gain, key=lambda w: (often.get(w, 0) / gain[w], -gain[w], w))
+        chosen.append(best)
+        left = {t: {p for p in ps if best not in p.split()} for t, ps in left.items()}
+    return tuple(chosen)
+
+
 @dataclass(frozen=True)
 class Model:
     families: tuple[str, ...]
@@ -125,6 +177,7 @@ class Model:
     weights: np.ndarray  # a row per gram, a column per family; the last family is unknown
     bias: np.ndarray
     temperature: float
+    cues: tuple[str, ...]
 
     def probabilities(self, text: str) -> np.ndarray:
         at = {g: k for k, g in enumerate(self.vocabulary)}
@@ -137,7 +190,8 @@ class Model:
         p = self.probabilities(text)
         family = self.families[int(p.argmax())]
         found = grams(text)
-        like = max((len(pairs(grams(t)) & found) / len(pairs(grams(t))) for t in TEMPLATES.get(family, ())), default=0.0)
+        known = [(pairs(grams(t)), rivals(family, t)) for t in TEMPLATES.get(family, ())]
+        like = max((len(gs & found) / len(gs) for gs, others in known if all(set(o) & found for o in others)), default=0.0)
         return family, float(p.max()), like
 
 
@@ -194,11 +248,13 @@ def fit(background: list[str], steps: int = 300, sparsity: float = 2e-4) -> Mode
         return float(-(s[np.arange(len(s)), target] - np.log(np.exp(s).sum(1))).mean())
 
     live = np.flatnonzero(np.abs(w).sum(1) > 0)
-    return Model(families, tuple(vocabulary[k] for k in live), w[live], bias, min((0.1 * k for k in range(2, 31)), key=loss))
+    temperature = min((0.1 * k for k in range(2, 31)), key=loss)
+    return Model(families, tuple(vocabulary[k] for k in live), w[live], bias, temperature, choose_cues(background))
 
 
 def train(docs: DataFrame, most: int = SAMPLE_DOCS) -> Model:
-    """Takes the unknown class from LINES lines of each of the most documents whose texts have the least hashes."""
+    """Takes the unknown class from LINES lines of each of the most documents whose texts have the least hashes. Null texts
+    count for nothing, repeated ones once; without texts there are the near misses only; other columns are ignored."""
     found = docs.where("text is not null").select(F.xxhash64("text").alias("h"), "text")
     last = found.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
     lines = F.min(F.slice(F.split("text", "\n"), 1, LINES)).alias("lines")
@@ -232,6 +288,14 @@ def _table(rows: list[list[float]]) -> Column:
     return F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in rows])
 
 
+def _strings(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def _lists(values: list[list[str]]) -> Column:
+    return F.array(*[_strings(v) for v in values]).cast("array<array<string>>")
+
+
 def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_paragraphs, found: the array of (at, family, probability, likeness) of the lines and stretches of words
     of every row of docs (doc_id, text) that a family's probability and template confirm; at is the line in which one
@@ -246,9 +310,9 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     weights = _table((model.weights / model.temperature).tolist())
     bias = F.array(*[F.lit(float(b)) for b in model.bias / model.temperature])
     families = F.array(*[F.lit(f) for f in model.families])
-    known = [(f, len(_cut(t)), sorted(pairs(grams(t)))) for f in sorted(TEMPLATES) for t in TEMPLATES[f]]
-    templates = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(REACH * n).alias("reach"), F.array(*[F.lit(g) for g in gs]).alias("grams")) for f, n, gs in known])
-    every = F.array(*[F.lit(g) for g in sorted({g for _, _, gs in known for g in gs})])
+    known = [(f, len(_cut(t)), sorted(pairs(grams(t))), rivals(f, t)) for f in sorted(TEMPLATES) for t in TEMPLATES[f]]
+    templates = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(REACH * n).alias("reach"), _strings(gs).alias("grams"), _lists(others).alias("rivals")) for f, n, gs, others in known])
+    every = F.array(*[F.lit(g) for g in sorted({g for _, _, gs, _ in known for g in gs})])
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n", -1)
 
@@ -306,7 +370,8 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
         return _with(s, ("at", "to", "first", "last", "grams"), family=family, probability=1 / F.aggregate(s["z"], F.lit(0.0), lambda a, z: a + F.exp(z - top)))
 
     def confirmed(s: Column) -> Column:
-        shares = F.transform(F.filter(templates, lambda t: t["family"] == s["family"]), lambda t: F.size(F.array_intersect(t["grams"], s["grams"])) / F.size(t["grams"]))
+        told = lambda t: F.forall(t["rivals"], lambda r: F.size(F.array_intersect(r, s["grams"])) > 0)
+        shares = F.transform(F.filter(templates, lambda t: (t["family"] == s["family"]) & told(t)), lambda t: F.size(F.array_intersect(t["grams"], s["grams"])) / F.size(t["grams"]))
         return _with(s, ("at", "to", "first", "last", "family", "probability"), likeness=F.coalesce(F.array_max(shares), F.lit(0.0)))
 
     def apart(s: Column, k: Column, d: Column) -> Column:
@@ -329,13 +394,18 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
         return _let(kept, settled)
 
     none = F.array().cast("array<struct<at:int,family:string,probability:double,likeness:double>>")
-    found = _let(_let(F.array_intersect(_let(_words(text), _pairs), every), likely), lambda wanted: F.when(F.size(wanted) > 0, judged(wanted)).otherwise(none))
+    read = _let(_let(F.array_intersect(_let(_words(text), _pairs), every), likely), lambda wanted: F.when(F.size(wanted) > 0, judged(wanted)).otherwise(none))
+    low, short = F.lower(text), [c for c in model.cues if len(c) < 4]
+    cued = low.rlike(f"(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])") if short else F.lit(False)
+    for cue in model.cues:
+        cued |= F.contains(low, F.lit(cue)) if cue not in short else F.lit(False)
+    found = F.when(cued, read).otherwise(none)
     return docs.select("doc_id", F.size(lines).cast("long").alias("n_paragraphs"), found.alias("found"))
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_paragraphs, n_licensed (lines in which a notice starts), families (distinct, in order, comma-joined), probability (the highest; null
-    without a licence)."""
+    """doc_id, n_paragraphs, n_licensed (lines in which a notice starts), families (distinct, in order, comma-joined),
+    probability (the highest; null without a licence) of every row of docs, for odd rows as paragraphs() says."""
     rows = paragraphs(docs, model)
     names = F.array_join(F.array_sort(F.array_distinct(F.col("found.family"))), ",")
     return rows.select("doc_id", "n_paragraphs", F.size(F.array_distinct("found.at")).cast("long").alias("n_licensed"), names.alias("families"), F.round(F.array_max(F.col("found.probability")), 6).alias("probability"))
