@@ -5,7 +5,7 @@ band i of the first and band j of the second collection. So 2 * GROUPS * ROWS mi
 keys of 6 minhashes, where one band per table would need 486. A pair of similarity s meets in some table with
 probability (1 - (1 - s^ROWS)^GROUPS)^2: 0.9996 at 0.85, 0.9969 at 0.8, above that nearly 1.
 
-Texts with equal shingle sets are one class from the start. Of classes that share a key, each is compared with the
+Texts with equal shingle sets (by 128-bit digests) are one class from the start. Of classes that share a key, each is compared with the
 least, and components follow. The classes of keys that are then still in several components are compared once more,
 by an exact filter on their rarest shingles. Every link that counts has been confirmed on the full sets.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import map_batches, materialise, pieces, same, small, text_buffer
+from .shared import map_batches, materialise, pieces, same, scratch, small, text_buffer
 from .words import Words, mix, shingles
 
 WIDTH = 5
@@ -43,8 +43,10 @@ def _sets(batch: pa.RecordBatch, words: Words, width: int) -> tuple[np.ndarray,
     return grams, offsets, out
 
 
-def _class_id(run: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(run.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _set_id(run: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set, as two longs."""
+    digest = hashlib.blake2b(run.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _minima(grams: np.ndarray, at: np.ndarray, mask: np.uint64, factor: np.uint64) -> np.ndarray:
@@ -55,7 +57,7 @@ def _minima(grams: np.ndarray, at: np.ndarray, mask: np.uint64, factor: np.uint6
 
 
 def sketches(docs: DataFrame, width: int = WIDTH, groups: int = GROUPS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, class (of the shingle set; null without shingles), left and right (bands, a long each)."""
+    """doc_id, n_shingles, hi and lo (of the shingle set; null without shingles), left and right (bands, a long each)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,25 +80,28 @@ def sketches(docs: DataFrame, width: int = WIDTH, groups: int = GROUPS, rows: in
                 cuts = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 for side in (bands[:groups], bands[groups:]):
                     lists.append(pa.ListArray.from_arrays(cuts, pa.array(np.ascontiguousarray(side.T).reshape(-1).view(np.int64))))
-                ids = [_class_id(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), *lists], names=["doc_id", "n_shingles", "class", "left", "right"])
+                ids = [_set_id(s) if len(s) else (None, None) for s in sets]
+                halves = [pa.array([i[k] for i in ids], pa.int64()) for k in range(2)]
+                columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *halves, *lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "hi", "lo", "left", "right"])
 
-    return map_batches(docs.select("doc_id", "text"), sketch, f"doc_id {kind}, n_shingles long, class long, left array<long>, right array<long>")
+    schema = f"doc_id {kind}, n_shingles long, hi long, lo long, left array<long>, right array<long>"
+    return map_batches(docs.select("doc_id", "text"), sketch, schema)
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """class, shingles of rows of docs (doc_id, text, class) whose text has that class."""
+    """class, shingles of rows of docs (text, class, hi, lo) whose text has the set of that id."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in pieces(batches):
-            wanted = batch.column(batch.schema.get_field_index("class")).to_pylist()
-            rows = [(c, s) for c, s in zip(wanted, _sets(batch, words, width)[2], strict=True) if len(s) and _class_id(s) == c]
+            wanted = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("class", "hi", "lo")), strict=True)
+            rows = [(c, s) for (c, *of), s in zip(wanted, _sets(batch, words, width)[2], strict=True) if len(s) and _set_id(s) == tuple(of)]
             cuts = np.concatenate([[0], np.cumsum([len(s) for _, s in rows])]).astype(np.int32)
             flat = np.concatenate([s for _, s in rows]).view(np.int64) if rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], names=["class", "shingles"])
 
-    return map_batches(docs.select("text", "class"), gather, "class long, shingles array<long>")
+    return map_batches(docs.select("text", "class", "hi", "lo"), gather, "class long, shingles array<long>")
 
 
 def _meeting(classes: DataFrame, side: str) -> DataFrame:
@@ -117,7 +122,7 @@ def _confirmed(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, least: int)
 
 
 def _links(docs: DataFrame, classes: DataFrame, once: bool, width: int, least: int) -> DataFrame | None:
-    """node, root of the classes (class, rep, n, left, right) that some other class is linked with."""
+    """node, root of the classes (class, hi, lo, rep, n, left, right) that some other class is linked with."""
     left, right = _meeting(classes, "left"), _meeting(classes, "right")
     likely = materialise(classes.join(left, "class", "left_semi").join(right, "class", "left_semi"), "likely")
     tables = likely.select("class", F.posexplode("left").alias("i", "x"), "right").select("class", "i", "x", F.posexplode("right").alias("j", "y"))
@@ -126,14 +131,14 @@ def _links(docs: DataFrame, classes: DataFrame, once: bool, width: int, least: i
     met = materialise(keys.join(heads, "key").where("class <> head"), "met")
     pairs = met.select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(likely.select("class", "rep", "n"), "class")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(likely.select("class", "hi", "lo", "rep", "n"), "class")
     wanted = materialise(wanted, "wanted")
     count = wanted.count()
     if not count:
         return None
     sizes = small(wanted.select("class", "n"), count)
-    fetch = small(wanted.select("class", "rep"), count)
-    texts = docs.select("doc_id", "text").join(fetch, same(docs["doc_id"], fetch["rep"])).select("text", "class")
+    fetch = small(wanted.select("class", "hi", "lo", "rep"), count)
+    texts = docs.select("doc_id", "text").join(fetch, same(docs["doc_id"], fetch["rep"])).select("text", "class", "hi", "lo")
     sets = shingle_sets(texts, width)
     sets = materialise(sets if once else sets.dropDuplicates(["class"]), "sets")
 
@@ -226,21 +231,24 @@ def near_groups(docs: DataFrame, width: int = WIDTH, least: int = LEAST, groups:
     are linked with nothing. component_id is the smallest doc_id of the component, null if no row of it has an id;
     kept rows are those whose doc_id it is, repeats included. An empty table gives no rows; other columns are ignored.
     """
-    members = materialise(sketches(docs, width, groups, rows), "sketches")
-    once = not members.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    classes = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
-    classes = materialise(classes, "classes")
-    roots = _links(docs, classes, once, width, least)
-    narrow = classes.select("class", "rep", "copies")
-    if roots is None:
-        named = narrow.where("copies > 1").select("class", F.col("rep").alias("least_id"))
-    else:
-        joined = narrow.join(roots, narrow["class"] == roots["node"], "left").where("copies > 1 or root is not null").select("class", "rep", F.coalesce("root", "class").alias("root"))
-        joined = materialise(joined, "joined")
-        least_ids = materialise(joined.groupBy("root").agg(F.min("rep").alias("least_id")), "least")
-        named = joined.join(least_ids, "root").select("class", "least_id")
-    named = materialise(named.withColumn("grouped", F.lit(True)), "named")
-    out = members.select("doc_id", "n_shingles", "class").join(named, "class", "left")
+    with scratch(docs.sparkSession) as keep:
+        members = keep(materialise(sketches(docs, width, groups, rows), "sketches"))
+        once = not members.groupBy("doc_id").count().where("count > 1").limit(1).count()
+        first = [F.first(c).alias(n) for c, n in (("n_shingles", "n"), ("left", "left"), ("right", "right"))]
+        classes = members.where("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *first)
+        numbered = classes.sortWithinPartitions("hi", "lo").select(F.monotonically_increasing_id().alias("class"), "*")
+        classes = materialise(numbered, "classes")  # read back, the numbers stay
+        roots = _links(docs, classes, once, width, least)
+        narrow = classes.select("class", "hi", "lo", "rep", "copies")
+        if roots is None:
+            named = narrow.where("copies > 1").select("hi", "lo", F.col("rep").alias("least_id"))
+        else:
+            joined = narrow.join(roots, narrow["class"] == roots["node"], "left").where("copies > 1 or root is not null")
+            joined = materialise(joined.select("hi", "lo", "rep", F.coalesce("root", "class").alias("root")), "joined")
+            least_ids = materialise(joined.groupBy("root").agg(F.min("rep").alias("least_id")), "least")
+            named = joined.join(least_ids, "root").select("hi", "lo", "least_id")
+        named = keep(materialise(named.withColumn("grouped", F.lit(True)), "named"))
+    out = members.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("grouped"), F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", same(F.col("doc_id"), F.col("component_id")))
 
@@ -255,7 +263,7 @@ def _row(docs: DataFrame) -> Column:
 def drop_near(docs: DataFrame, **settings: int) -> DataFrame:
     """The rows of docs, with all their columns, of which one row of each component stays: one with its least doc_id,
     or without an id if no row of it has one. Rows are decided on one by one, by their own texts, whatever ids they
-    share or lack. Rows without words are in no component, so that all of them stay."""
+    share or lack. Rows without words are in no component, so that all of them stay. An empty table gives no rows."""
     keyed = docs.select("*", _row(docs).alias("_row"))
     marks = materialise(near_groups(keyed.select(F.col("_row").alias("doc_id"), "text"), **settings), "marks")
     gone = marks.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +20,21 @@ cloudpickle.register_pickle_by_value(importlib.import_module(__package__))  # ta
 
 #: Text bytes that one numpy pass works on; a longer document is a pass of its own.
 PIECE_BYTES = 2 << 20
-#: Bytes of an Arrow batch between the JVM and a Python worker.
-BATCH_BYTES = 16 << 20
+#: Bytes of an Arrow batch between the JVM and a Python worker at most; Spark's own setting is no larger by default.
+BATCH_BYTES = 64 << 20
 
 _own: dict[str, str] = {}
 _written: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one temporary folder per application."""
+    """The folder in spark.checkpoint.dir; where that is unset, one temporary folder per application, which only a
+    local master can use (ValueError for others)."""
     conf = spark.sparkContext.getConf()
     if root := conf.get("spark.checkpoint.dir"):
         return root.rstrip("/")
+    if not (conf.get("spark.master") or "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="rastrel-"))
 
 
@@ -45,17 +49,40 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what materialise() and shared_path() have made; call it when the results have been read."""
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is made inside is deleted at the end, but for the tables from materialise() that keep() was called with."""
+    mark, kept = len(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.stored_at)
+        return df
+
+    yield keep
+    made = _written[mark:]
+    del _written[mark:]
+    _delete(spark, [path for path in made if path not in kept])
+    _written.extend(path for path in made if path in kept)
+
+
+def _delete(spark: SparkSession, paths: Sequence[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes what materialise() and shared_path() have made; call it when the results have been read."""
+    _delete(spark, _written)
+    _written.clear()
+
+
 def _bytes(text: str) -> int:
     """What a size setting such as 64m says."""
     number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)b?\s*", text.lower()).groups()
@@ -63,8 +90,8 @@ def _bytes(text: str) -> int:
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """df.mapInArrow with batches of at most BATCH_BYTES (a session setting, lowered if larger), so that a Python
-    worker's memory follows neither the number nor the length of the documents."""
+    """df.mapInArrow with batches of bounded bytes, so that a Python worker's memory follows neither the number nor the
+    length of the documents. The bound is a session setting; only one above BATCH_BYTES, or none, is lowered."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < _bytes(df.sparkSession.conf.get(key)) <= BATCH_BYTES:
         df.sparkSession.conf.set(key, f"{BATCH_BYTES}b")
@@ -152,15 +179,15 @@ def prefixed(df: DataFrame, order: Sequence[Column], value: str, group: str | No
         of_part = of_part.withColumn("_ps", F.pmod("_ps", F.lit(modulus)))
     whole = Window.partitionBy(*keys[1:])
     earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = of_part.select(
+    offsets = materialise(of_part.select(
         *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
         F.coalesce(F.sum("_ps").over(earlier), F.lit(0)).alias("_os"), F.coalesce(F.sum("_pc").over(earlier), F.lit(0)).alias("_oc"),
         F.sum("_ps").over(whole).alias("_total"), F.sum("_pc").over(whole).alias("_rows"),
-    )
+    ), "offsets")
     matched = rows["_part"] == offsets["_key0"]
     if group is not None:
         matched &= same(rows[group], offsets["_key1"])
     before = F.col("_os") + F.col("_sum")
-    return rows.join(F.broadcast(offsets), matched).select(
+    return rows.join(small(offsets, offsets.count()), matched).select(
         *df.columns, (F.pmod(before, F.lit(modulus)) if modulus else before).alias("_before"), (F.col("_oc") + F.col("_count")).alias("_row"), "_total", "_rows"
     )

@@ -1,14 +1,18 @@
 """Words of whole texts as 64-bit hashes, a numpy pass over the bytes of many documents at a time.
 
 A word's hash is the sum of a random number per byte times a power of an odd base, modulo 2^64: sums over runs of
-bytes are what numpy does fast, and an inverse power makes the hash independent of the place.
+bytes are what numpy does fast, and an inverse power makes the hash independent of the place. Such sums have known
+collisions among long strings, so a word of more than LONG bytes gets a cryptographic hash instead.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _SPAN = 1 << 18
+LONG = 256
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -45,6 +49,9 @@ class Words:
     """Cuts bytes into words; fold: A-Z count as a-z."""
 
     def __init__(self, breaks: np.ndarray = SPACE, fold: bool = True):
+        self.fold = np.arange(256, dtype=np.uint8)
+        if fold:
+            self.fold[ord("A") : ord("Z") + 1] = self.fold[ord("a") : ord("z") + 1]
         values = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         if fold:
             values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
@@ -72,22 +79,25 @@ class Words:
             while at < len(starts):
                 lo = int(starts[at])
                 to = int(np.searchsorted(stops, lo + _SPAN, side="right"))
-                if to <= at:  # one word longer than the table of powers
-                    out[at] = self._long(data[lo : int(stops[at])])
+                if to <= at:  # one word, or what follows it, longer than the table of powers
+                    out[at] = self._one(data[lo : int(stops[at])])
                     at += 1
                     continue
                 hi = int(stops[to - 1])
                 place = starts[at:to] - lo
                 out[at:to] = np.add.reduceat(self.values[data[lo:hi]] * self.up[: hi - lo], place) * self.down[place]
                 at = to
+            for k in np.flatnonzero(stops - starts > LONG).tolist():
+                out[k] = self._one(data[int(starts[k]) : int(stops[k])])
             return mix(out), np.searchsorted(starts, ends)
 
-    def _long(self, data: np.ndarray) -> np.uint64:
-        total = 0
-        for k in range(0, len(data), _SPAN):
-            part = data[k : k + _SPAN]
-            total += int((self.values[part] * self.up[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, k, 1 << 64)
-        return np.uint64(total & _MASK)
+    def _one(self, data: np.ndarray) -> np.uint64:
+        """The hash of the word that data begins with."""
+        breaks = np.flatnonzero(~self.inside[data])
+        word = data[: int(breaks[0])] if len(breaks) else data
+        if len(word) <= LONG:
+            return (self.values[word] * self.up[: len(word)]).sum(dtype=np.uint64)
+        return np.uint64(int.from_bytes(hashlib.blake2b(self.fold[word].tobytes(), digest_size=8).digest(), "little"))
 
 
 _TURNS = [0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F]
