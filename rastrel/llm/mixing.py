@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialise, prefixed, same, small
@@ -23,6 +23,7 @@ SHARE = 1.5
 MOST = 2
 SEED = "mix-1"
 _ONE = 1 << 32
+_PARTS = 1 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -31,24 +32,28 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """source, source_size, target from (source, size). The windows run over one row per source.
+    """source, source_size, target from (source, size), with any number of sources: ranks and sums over sources are
+    prefix sums like those over documents. Weights are rounded to a millionth part or so.
 
     Sources fill up in the order of most * size / weight; the target of the others is their weight times the level
-    at which what is left, shared by weight, fills none of the rest.
+    at which what is left, shared by weight, fills none of the rest. Null is a source, the last; a table without rows
+    gives no rows; null sizes count for nothing.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    named = Window.orderBy(F.col("source").asc_nulls_last())
-    choice = F.array(*[F.lit(float(w)) for w in weights])
-    known = by_source.select(
-        "source", "source_size", F.get(choice, F.pmod(F.row_number().over(named) - 1, F.lit(len(weights)))).alias("weight"),
-        (F.col("source_size") * float(most)).alias("top"), (F.sum("source_size").over(Window.partitionBy()) * float(share)).alias("all"),
-    )
-    filled = Window.orderBy(F.col("top") / F.col("weight"), F.col("source").asc_nulls_last())
-    level = (F.col("all") - F.coalesce(F.sum("top").over(filled.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("weight").over(filled.rowsBetween(0, Window.unboundedFollowing))
-    ranked = known.withColumn("level", level).withColumn("place", F.row_number().over(filled))
-    fits = F.col("level") <= F.col("top") / F.col("weight")
-    first = F.min(F.when(fits, F.struct("place", "level"))).over(Window.partitionBy())["level"]
-    return ranked.withColumn("first", first).select("source", "source_size", F.coalesce(F.least("top", F.col("first") * F.col("weight")), F.col("top")).alias("target"))
+    by_source = materialise(sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size")), "sources")
+    last = F.col("source").asc_nulls_last()
+    named = prefixed(by_source, [last], "source_size", tag="named")
+    choice = F.array(*[F.lit(round(w * _PARTS)) for w in weights])
+    known = named.select("source", "source_size", F.get(choice, F.pmod("_row", F.lit(len(weights)))).cast("long").alias("_weight"), F.col("_total").alias("_all"))
+    ratio = F.col("source_size") * float(most) / (F.col("_weight") / _PARTS)
+    order = [ratio, last]
+    filled = prefixed(known, order, "source_size", tag="filled").select(*known.columns, F.col("_before").alias("_filled"))
+    filled = prefixed(filled, order, "_weight", tag="weighed")
+    level = (F.col("_all") * float(share) - F.col("_filled") * float(most)) / ((F.col("_total") - F.col("_before")) / _PARTS)
+    ranked = materialise(filled.select("source", "source_size", "_weight", "_row", level.alias("_level"), ratio.alias("_ratio")), "ranked")
+    first = ranked.where("_level <= _ratio").agg(F.min(F.struct("_row", "_level"))["_level"]).first()[0]
+    top = F.col("source_size") * float(most)
+    target = top if first is None else F.least(top, F.lit(float(first)) * (F.col("_weight") / _PARTS))
+    return ranked.select("source", "source_size", target.alias("target"))
 
 
 def _start(seed: str) -> Column:
@@ -58,11 +63,10 @@ def _start(seed: str) -> Column:
 
 def _copies(sized: DataFrame, weights: Sequence[float], share: float, most: float, seed: str) -> DataFrame:
     """sized (doc_id, source, size, ...) with source_size, target and copies."""
-    targets = source_targets(sized, weights, share, most)
-    targets = targets.select(F.col("source").alias("_source"), "source_size", "target")
+    targets = materialise(source_targets(sized, weights, share, most), "targets")
+    targets = small(targets.select(F.col("source").alias("_source"), "source_size", "target"), targets.count())
     step = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
-    # a row per source
-    expected = sized.join(F.broadcast(targets), same(sized["source"], targets["_source"])).drop("_source").withColumn("_step", F.floor(step * _ONE).cast("long"))
+    expected = sized.join(targets, same(sized["source"], targets["_source"])).drop("_source").withColumn("_step", F.floor(step * _ONE).cast("long"))
     order = [F.col("source").asc_nulls_first(), F.col("size"), F.col("doc_id").asc_nulls_first()]
     summed = prefixed(expected, order, "_step", "source", _ONE, "mix")
     return summed.withColumn("copies", F.floor((F.pmod(F.col("_before") + _start(seed), F.lit(_ONE)) + F.col("_step")) / _ONE).cast("long"))
@@ -80,7 +84,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 
 def emit(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """The mix itself: the rows of docs with all their columns, each as often as it is taken.
+    """The mix itself: the rows of docs with all their columns, each as often as it is taken. Null texts and those without
+    words are not taken; an empty table gives no rows; null ids and sources are values like others.
 
     The copies are worked out on narrow rows, which find their texts by doc_id and a hash of the whole row. Rows that
     are alike in every column are one there, and taken as often as all of them.

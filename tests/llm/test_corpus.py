@@ -650,6 +650,31 @@ def test_licences_of_gnu_kinds(spark):
     assert got == [name for name, _ in notices]
 
 
+def test_licences_against_labels(spark):
+    """Notices with the family a reader gives them, worded as no template is, and licences of no family here."""
+    rng = random.Random(17)
+    model = licenses.fit([prose(rng, 30) for _ in range(300)])
+    known = [
+        ("epl", "/*\n * This program and the accompanying materials are made\n * available under the terms of the Eclipse Public License 2.0\n * which is available at x */"),
+        ("isc", "// Permission to use, copy, modify, and/or distribute this software\n// for any purpose with or without fee is hereby granted, provided that"),
+        ("mit", "// SPDX-License-Identifier: MIT"), ("apache-2.0", "# SPDX-License-Identifier: Apache-2.0"), ("gpl-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+        ("gpl-3.0", "/* SPDX-License-Identifier: GPL-3.0-or-later */"), ("lgpl", "SPDX-License-Identifier: LGPL-2.1-or-later"), ("epl", "SPDX-License-Identifier: EPL-2.0"),
+        ("isc", "<!-- SPDX-License-Identifier: ISC -->"), ("bsd", "SPDX-License-Identifier: BSD-3-Clause"), ("mpl-2.0", "# this source code form is subject to the terms\n# of the mozilla public license, v. 2.0."),
+        ("mit", "Code here is released under the MIT License by its authors"), ("cc-by-nc", "texts are licensed under CC BY-NC 4.0 since May"),
+    ]
+    unknown = [
+        "Licensed under the Boost Software License 1.0", "Licensed under the Python License", "Released under the WTFPL License.", "Licensed under CC BY-ND 4.0.",
+        "Licensed under the GNU Free Documentation License v1.3.", "SPDX-License-Identifier: OFL-1.1", "SPDX-License-Identifier: PostgreSQL", "SPDX-License-Identifier: Artistic-2.0",
+        "Licensed under the Microsoft Public License.", "This work is licensed under the Academic Free License, version 3.", "Licensed under the PHP License v3.01.", "a licence to fish was granted",
+    ]
+    rows = list(enumerate([t for _, t in known] + unknown))
+    got = {r["doc_id"]: r["families"] for r in licenses.scan(docs_of(spark, rows), model).collect()}
+    assert [got[i] for i in range(len(known))] == [f for f, _ in known]
+    wrong = [t for i, t in rows[len(known) :] if got[i]]
+    assert len(wrong) <= 0.25 * len(unknown), wrong
+    assert [model.judge(t)[0] for _, t in known][2:10] == [f for f, _ in known][2:10]
+
+
 def test_licence_sample_takes_whole_lines(spark, monkeypatch):
     monkeypatch.setattr(licenses, "fit", list)
     assert licenses.train(docs_of(spark, [(1, "word " * 1000)])) == ["word " * 1000]
