@@ -32,7 +32,8 @@ def _finished(edges: DataFrame) -> bool:
 
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node, root for every node of links (a, b: longs), and of known, an earlier result, that they add to: root is
-    the least node that can be reached."""
+    the least node that can be reached. Links of a node to itself and repeated ones count for nothing, nor do those
+    with a null end; without links there are no rows; other columns are ignored."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     if known is not None:
         edges = edges.union(known.where("node <> root").select("node", "root"))

@@ -189,7 +189,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, that score at least threshold."""
+    """The rows of docs, with all their columns, that score at least threshold. Null texts are scored as empty ones;
+    repeated rows share one fate; an empty table gives no rows. Columns may have any names."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
     rows = docs.select("text", _chars(docs), whole)
     return _scored(rows, model).where(F.col("score") >= threshold).select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])

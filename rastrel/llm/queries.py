@@ -15,44 +15,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by source; rows and odd cases as mixing.mix() says."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op2_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents by runs of three words at 0.85; odd cases as neardup.near_groups() says."""
     return neardup.near_groups(_table(spark, sf_dir, "documents"), width=3, least=85)
 
 
 def op3_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document holds; odd cases as decontaminate.matches() says."""
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through archives and back; odd cases as warc.round_trip() says."""
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of near equal bytes; odd cases as sharding.byte_shards() says."""
     return sharding.byte_shards(_table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every url; odd cases as urlfilter.judge() says."""
     return urlfilter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data; odd cases as pii.find() says."""
     return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
 
 
 def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document; odd cases as quality.score() says."""
     docs = _table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
 def op9_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of every document; odd cases as licenses.paragraphs() says."""
     docs = _table(spark, sf_dir, "documents")
     return licenses.scan(docs, licenses.train(docs))
 
 
 def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; odd cases as exactdedup.exact_groups() says."""
     return exactdedup.exact_groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

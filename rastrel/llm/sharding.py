@@ -41,12 +41,14 @@ def byte_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", t
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all their columns, and shard and slot (columns of these names are replaced). The texts move
-    once, in the range shuffle that orders them."""
+    once, in the range shuffle that orders them. Null texts count as empty, null ids come first, repeated rows each get
+    a slot, an empty table gives no rows."""
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
     packed = _sized(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"))
     return _cut(packed, shards).select(*[F.col("_doc").getField(c).alias(c) for c in kept], "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Writes the documents under path/shard=N. Rows are already in shard order, so each task has few shards open."""
+    """Writes the documents under path/shard=N. Rows are already in shard order, so each task has few shards open. Odd
+    rows as shard_documents() says; an empty table writes no shard."""
     shard_documents(docs, shards).write.partitionBy("shard").parquet(path)

@@ -70,6 +70,13 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     _written.extend(path for path in made if path in kept)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes a table from materialise(); others, such as input tables, are left alone."""
+    if (path := getattr(df, "stored_at", None)) in _written:
+        _written.remove(path)
+        _delete(df.sparkSession, [path])
+
+
 def _delete(spark: SparkSession, paths: Sequence[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for name in paths:
