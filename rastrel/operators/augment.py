@@ -25,25 +25,36 @@ def fogged(v: Column, fractal: Column, severity: float) -> Column:
     return F.element_at(F.transform(F.array(top), mixed), 1)
 
 
-def plasma(side: int, decay: float, rng: np.random.Generator) -> np.ndarray:
-    """A fractal of diamond and square steps on a torus, of 0..1; side is a power of two."""
+def draws(seeds: np.ndarray, count: int) -> np.ndarray:
+    """count numbers of -1..1 for each seed, a row each."""
+    return np.stack([np.random.default_rng(int(s)).uniform(-1, 1, count) for s in seeds])
+
+
+def plasma(side: int, decay: float, noise: np.ndarray) -> np.ndarray:
+    """Fractals of 0..1, one for each row of noise (side * side numbers of -1..1); side is a power of two.
+
+    Midpoint displacement on a torus. Level k knows the points whose coordinates are multiples of a gap of
+    side / 2^k; points half a gap off in both coordinates become the mean of the four known ones around them, then those
+    half a gap off in one coordinate the mean of their four neighbours at that distance. Every new point is
+    displaced by a * U(-a, a) with the level's amplitude a = 100 / decay^k.
+    """
     if side & (side - 1):
         raise ValueError("side must be a power of two")
-    grid, step, spread = np.zeros((side, side)), side, 100.0
-    noise = lambda mean: mean / 4 + spread * rng.uniform(-1, 1, mean.shape)
-    while step > 1:
-        half = step // 2
-        corners = grid[::step, ::step]
-        four = corners + np.roll(corners, -1, 0)
-        grid[half::step, half::step] = noise(four + np.roll(four, -1, 1))
-        middles = grid[half::step, half::step]
-        across = middles + np.roll(middles, 1, 0) + corners + np.roll(corners, -1, 1)
-        grid[::step, half::step] = noise(across)
-        down = middles + np.roll(middles, 1, 1) + corners + np.roll(corners, -1, 0)
-        grid[half::step, ::step] = noise(down)
-        step, spread = half, spread / decay
-    grid -= grid.min()
-    return grid / max(grid.max(), 1e-12)
+    field, used = np.zeros((len(noise), side, side)), 0
+    for level in range(side.bit_length() - 1):
+        gap, amplitude = side >> level, 100.0 / decay**level
+        half = gap // 2
+        known = np.arange(0, side, gap)
+        between = known + half
+        diagonal = [(-half, -half), (-half, half), (half, -half), (half, half)]
+        straight = [(-half, 0), (half, 0), (0, -half), (0, half)]
+        for rows, columns, around in ((between, between, diagonal), (known, between, straight), (between, known, straight)):
+            mean = sum(field[:, ((rows + y) % side)[:, None], (columns + x) % side] for y, x in around) / 4
+            shift = noise[:, used : used + len(rows) * len(columns)].reshape(mean.shape)
+            field[:, rows[:, None], columns] = mean + amplitude * amplitude * shift
+            used += len(rows) * len(columns)
+    field -= field.min((1, 2), keepdims=True)
+    return field / np.maximum(field.max((1, 2), keepdims=True), 1e-12)
 
 
 def plasma_size(height: int, width: int) -> int:
@@ -71,12 +82,16 @@ def motion_kernel(rng: np.random.Generator, intensity: float, side: int = 5) ->
     return out / out.sum()
 
 
-def convolve(tile: np.ndarray, kernel: np.ndarray, mode: str = "same") -> np.ndarray:
-    """True convolution; same: padded with zeros, valid: whole neighbourhoods only."""
-    k = kernel[::-1, ::-1]
-    up, left = (k.shape[0] - 1) // 2, (k.shape[1] - 1) // 2
-    padded = np.pad(tile, ((up, k.shape[0] - 1 - up), (left, k.shape[1] - 1 - left))) if mode == "same" else tile
-    return np.einsum("ijkl,kl->ij", np.lib.stride_tricks.sliding_window_view(padded, k.shape), k)
+def convolve(tiles: np.ndarray, kernel: np.ndarray, mode: str = "same") -> np.ndarray:
+    """True convolution of a tile or a stack of them, with one kernel or one for each; same: padded with zeros, valid:
+    whole neighbourhoods only."""
+    k = kernel[..., ::-1, ::-1]
+    high, wide = k.shape[-2:]
+    up, left = (high - 1) // 2, (wide - 1) // 2
+    around = [(0, 0)] * (tiles.ndim - 2) + [(up, high - 1 - up), (left, wide - 1 - left)]
+    padded = np.pad(tiles, around) if mode == "same" else tiles
+    windows = np.lib.stride_tricks.sliding_window_view(padded, (high, wide), axis=(-2, -1))
+    return np.einsum("...ijkl,...kl->...ij", windows, k)
 
 
 def _taps(n: int, m: int, kernel: Callable[[np.ndarray], np.ndarray], support: float) -> np.ndarray:
@@ -96,43 +111,47 @@ def _lanczos(x: np.ndarray) -> np.ndarray:
     return np.sinc(x) * np.sinc(x / 3)
 
 
-def resample(tile: np.ndarray, height: int, width: int, how: str = "lanczos") -> np.ndarray:
-    """To another size by separable kernels: cubic (2 places to a side) or lanczos (3)."""
+def resample(tiles: np.ndarray, height: int, width: int, how: str = "lanczos") -> np.ndarray:
+    """A tile or a stack of them to another size by separable kernels: cubic (2 places to a side) or lanczos (3)."""
     kernel, support = {"cubic": (_cubic, 2.0), "lanczos": (_lanczos, 3.0)}[how]
-    return _taps(tile.shape[0], height, kernel, support) @ tile @ _taps(tile.shape[1], width, kernel, support).T
+    return _taps(tiles.shape[-2], height, kernel, support) @ tiles @ _taps(tiles.shape[-1], width, kernel, support).T
 
 
-def down_and_up(tile: np.ndarray, scale: float) -> np.ndarray:
+def down_and_up(tiles: np.ndarray, scale: float) -> np.ndarray:
     """Made smaller by scale and brought back, cubic both ways."""
-    small = resample(tile, max(1, int(tile.shape[0] * scale)), max(1, int(tile.shape[1] * scale)), "cubic")
-    return resample(small, *tile.shape, "cubic")
+    height, width = tiles.shape[-2:]
+    return resample(resample(tiles, max(1, int(height * scale)), max(1, int(width * scale)), "cubic"), height, width, "cubic")
 
 
-def rotated(tile: np.ndarray, degrees: float) -> np.ndarray:
-    """Turned about its middle by any angle, quadratic B-spline of the neighbours, 0 outside, same size."""
-    h, w = tile.shape
-    t = np.radians(degrees)
-    r, c = np.indices(tile.shape)
+def rotated(tiles: np.ndarray, degrees: np.ndarray) -> np.ndarray:
+    """Each tile of a stack turned about its middle by its angle, quadratic B-spline of the neighbours, 0 outside, same
+    size."""
+    h, w = tiles.shape[-2:]
+    t, nth = np.radians(np.asarray(degrees, float))[:, None, None], np.arange(len(tiles))[:, None, None]
+    r, c = np.indices((h, w))
     y, x = r - (h - 1) / 2, c - (w - 1) / 2
     sy, sx = np.cos(t) * y + np.sin(t) * x + (h - 1) / 2, -np.sin(t) * y + np.cos(t) * x + (w - 1) / 2
     ry, rx = np.rint(sy).astype(int), np.rint(sx).astype(int)
-    out, total = np.zeros(tile.shape), np.zeros(tile.shape)
+    out, total = np.zeros(tiles.shape), np.zeros(tiles.shape)
     spline = lambda d: np.where(np.abs(d) <= 0.5, 0.75 - d * d, np.where(np.abs(d) <= 1.5, 0.5 * (1.5 - np.abs(d)) ** 2, 0.0))
     for dr in (-1, 0, 1):
         for dc in (-1, 0, 1):
             rr, cc = ry + dr, rx + dc
             weight = spline(sy - rr) * spline(sx - cc)
             inside = (rr >= 0) & (rr < h) & (cc >= 0) & (cc < w)
-            out += np.where(inside, weight * tile[np.clip(rr, 0, h - 1), np.clip(cc, 0, w - 1)], 0)
+            out += np.where(inside, weight * tiles[nth, np.clip(rr, 0, h - 1), np.clip(cc, 0, w - 1)], 0)
             total += weight
     return out / total
 
 
-def per_tile(tiles: DataFrame, f: Callable[[int, np.ndarray], np.ndarray], height: int, width: int) -> DataFrame:
-    """tiles (tile_id, v) with v = f(tile_id, tile), batch by batch."""
+def per_batch(tiles: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray], height: int, width: int) -> DataFrame:
+    """tiles (tile_id, v) with v = f(tile ids, stack of tiles), a stack for each batch."""
+
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            done = [np.asarray(f(int(i), np.asarray(v, dtype=float).reshape(height, width)), dtype=float).ravel() for i, v in zip(frame["tile_id"], frame["v"], strict=True)]
-            yield pd.DataFrame({"tile_id": frame["tile_id"], "v": done})
+            if len(frame):
+                stack = np.stack([np.asarray(v, float) for v in frame["v"]]).reshape(-1, height, width)
+                done = f(frame["tile_id"].to_numpy(), stack)
+                yield pd.DataFrame({"tile_id": frame["tile_id"], "v": list(done.reshape(len(frame), -1))})
 
     return tiles.select("tile_id", "v").mapInPandas(apply, "tile_id long, v array<double>")

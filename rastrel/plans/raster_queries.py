@@ -252,25 +252,26 @@ def blur_path_cumsum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def plasma_fog(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = model.tiles(spark, sf_dir).select("tile_id", F.transform("v", lambda x: (x + 1) * 127.5).alias("v"))
-    maps = augment.per_tile(tiles, lambda i, t: augment.plasma(augment.plasma_size(8, 8), 2.0, np.random.default_rng(i)), 8, 8).withColumnRenamed("v", "fractal")
+    maps = augment.per_batch(tiles, lambda ids, _: augment.plasma(8, 2.0, augment.draws(ids, 64)), 8, 8).withColumnRenamed("v", "fractal")
     return tiles.join(maps, "tile_id").select("tile_id", augment.fogged(F.col("v"), F.col("fractal"), 1.5).alias("v"))
 
 
 @query()
 def rotate_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return augment.per_tile(model.tiles(spark, sf_dir), lambda i, t: augment.rotated(t, i % 90), 8, 8)
+    return augment.per_batch(model.tiles(spark, sf_dir), lambda ids, t: augment.rotated(t, ids % 90), 8, 8)
 
 
 @query()
 def motion_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return augment.per_tile(model.tiles(spark, sf_dir), lambda i, t: augment.convolve(t, augment.motion_kernel(np.random.default_rng(i), 0.3)), 8, 8)
+    kernels = lambda ids: np.stack([augment.motion_kernel(np.random.default_rng(i), 0.3) for i in ids])
+    return augment.per_batch(model.tiles(spark, sf_dir), lambda ids, t: augment.convolve(t, kernels(ids)), 8, 8)
 
 
 @query()
 def cubic_down_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return augment.per_tile(model.tiles(spark, sf_dir), lambda i, t: augment.down_and_up(t, 0.5), 8, 8)
+    return augment.per_batch(model.tiles(spark, sf_dir), lambda _, t: augment.down_and_up(t, 0.5), 8, 8)
 
 
 @query()
 def lanczos_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return augment.per_tile(model.tiles(spark, sf_dir), lambda i, t: augment.resample(t, 12, 10), 8, 8)
+    return augment.per_batch(model.tiles(spark, sf_dir), lambda _, t: augment.resample(t, 12, 10), 8, 8)

@@ -86,13 +86,25 @@ def test_resample_and_rotate():
     tile = np.arange(36.0).reshape(6, 6)
     assert np.allclose(augment.resample(tile, 6, 6), tile)
     assert np.allclose(augment.resample(np.ones((5, 7)), 9, 3, "cubic"), 1)
-    flat = augment.rotated(np.ones((9, 9)), 90)
-    assert np.allclose(flat[2:7, 2:7], 1)
+    flat = augment.rotated(np.ones((2, 9, 9)), [90, 33])
+    assert np.allclose(flat[:, 3:6, 3:6], 1)
+    stack = np.random.default_rng(4).normal(size=(3, 8, 8))
+    for k in range(3):  # a stack is its tiles one by one
+        assert np.allclose(augment.resample(stack, 12, 10)[k], augment.resample(stack[k], 12, 10))
+        assert np.allclose(augment.down_and_up(stack, 0.5)[k], augment.down_and_up(stack[k], 0.5))
+        assert np.allclose(augment.rotated(stack, [10, 20, 30])[k], augment.rotated(stack[k : k + 1], [10 * k + 10])[0])
+    kernels = np.random.default_rng(5).normal(size=(3, 3, 3))
+    assert np.allclose(augment.convolve(stack, kernels)[1], augment.convolve(stack[1], kernels[1]))
     assert augment.plasma_size(8, 9) == 16
-    fractal = augment.plasma(16, 2.0, np.random.default_rng(0))
-    assert fractal.min() == 0 and fractal.max() == pytest.approx(1)
+    fractal = augment.plasma(16, 2.0, augment.draws(np.arange(3), 256))
+    assert fractal.shape == (3, 16, 16) and (fractal.min((1, 2)) == 0).all() and np.allclose(fractal.max((1, 2)), 1)
     with pytest.raises(ValueError):
-        augment.plasma(12, 2.0, np.random.default_rng(0))
+        augment.plasma(12, 2.0, augment.draws(np.arange(1), 144))
+    noise = np.array([[0.5, -0.25, 0.75, 0.0]])  # one level: the centre, then the points beside and below the corner
+    middle = 5000.0
+    heights = np.array([0, middle / 2 - 2500, middle / 2 + 7500, middle])
+    low = heights.min()
+    assert np.allclose(augment.plasma(2, 2.0, noise).ravel(), (heights - low) / (heights.max() - low))
     assert augment.motion_kernel(np.random.default_rng(1), 0.5).sum() == pytest.approx(1)
 
 
