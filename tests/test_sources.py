@@ -1,6 +1,8 @@
 """Files: lists, folders, archives, rasters, sinks and streams."""
 
+import struct
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -88,3 +90,107 @@ def test_streams(spark, tmp_path):
     query = runlog.totals(events).writeStream.outputMode("complete").format("memory").queryName("totals").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("SELECT n, total FROM totals").first()["n"] == 60
+
+
+def packed(values, order="<", tile=None, packing=1, predictor=1, apart=False):
+    """A TIFF file of values (bands, rows, columns) in a given layout, written out by the format's definition."""
+    bands, height, width = values.shape
+    high, wide = tile or (2, width)
+    kind = values.dtype.newbyteorder(order)
+    blocks = []
+    for group in [values[k : k + 1] for k in range(bands)] if apart else [values]:
+        for r in range(0, height, high):
+            for c in range(0, width, wide):
+                part = group[:, r : r + high, c : c + wide].transpose(1, 2, 0)
+                if tile:
+                    part = np.pad(part, ((0, high - part.shape[0]), (0, wide - part.shape[1]), (0, 0)))
+                if predictor == 2:
+                    part = np.concatenate([part[:, :1], part[:, 1:] - part[:, :-1]], 1)
+                raw = part.astype(kind).tobytes()
+                if predictor == 3:
+                    planes = np.frombuffer(part.astype(kind.newbyteorder(">")).tobytes(), np.uint8).reshape(part.shape[0], -1, kind.itemsize).transpose(0, 2, 1)
+                    planes = planes.reshape(part.shape[0], -1, part.shape[2])
+                    raw = np.concatenate([planes[:, :1], planes[:, 1:] - planes[:, :-1]], 1).tobytes()
+                blocks.append({1: bytes, 5: lzw, 8: zlib.compress}[packing](raw))
+    tags = {256: (4, [width]), 257: (4, [height]), 258: (3, [kind.itemsize * 8] * bands), 259: (3, [packing]), 277: (3, [bands]), 284: (3, [2 if apart else 1]), 317: (3, [predictor]), 339: (3, [{"u": 1, "i": 2, "f": 3}[kind.kind]] * bands)}
+    tags |= {322: (4, [wide]), 323: (4, [high])} if tile else {278: (4, [high])}
+    at, body, offsets = 8, b"", []
+    for b in blocks:
+        offsets.append(at + len(body))
+        body += b
+    tags |= {324 if tile else 273: (4, offsets), 325 if tile else 279: (4, [len(b) for b in blocks])}
+    entries, extra, extra_at = b"", b"", at + len(body)
+    for tag, (code, numbers) in sorted(tags.items()):
+        raw = struct.pack(f"{order}{len(numbers)}{'HI'[code == 4]}", *numbers)
+        if len(raw) > 4:
+            entries += struct.pack(order + "HHII", tag, code, len(numbers), extra_at + len(extra))
+            extra += raw
+        else:
+            entries += struct.pack(order + "HHI", tag, code, len(numbers)) + raw.ljust(4, b"\0")
+    return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", extra_at + len(extra)) + body + extra + struct.pack(order + "H", len(tags)) + entries + b"\0" * 4
+
+
+def lzw(data):
+    bits, table, width, last = "", {bytes([k]): k for k in range(256)}, 9, b""
+    bits += f"{256:09b}"
+    n = 258
+    for k in range(len(data)):
+        if last + data[k : k + 1] in table:
+            last += data[k : k + 1]
+            continue
+        bits += f"{table[last]:0{width}b}"
+        table[last + data[k : k + 1]] = n
+        n += 1
+        width = max(9, n.bit_length()) if n < 4095 else 12
+        last = data[k : k + 1]
+        if n == 4094:
+            bits += f"{table[last]:0{width}b}" + f"{256:012b}"
+            table, width, last, n = {bytes([j]): j for j in range(256)}, 9, b"", 258
+    bits += (f"{table[last]:0{width}b}" if last else "") + f"{257:0{max(width, max(9, (n + 1).bit_length()))}b}"
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+@pytest.mark.parametrize("dtype,packing,predictor", [("u1", 1, 1), ("u2", 8, 2), ("u1", 8, 2), ("f4", 8, 3), ("f8", 8, 3), ("i2", 5, 1), ("u2", 5, 2)])
+def test_tiff_layouts(dtype, packing, predictor):
+    values = (np.random.default_rng(3).normal(size=(3, 7, 5)) * 50 + 100).astype(dtype)
+    for order in "<>":
+        for tile in (None, (4, 4)):
+            for apart in (False, True):
+                got = tiff.decode(packed(values, order, tile, packing, predictor, apart))
+                assert (got.values == values).all(), (order, tile, apart)
+
+
+def test_tiff_lzw_code_widths():
+    values = np.random.default_rng(6).integers(0, 256, (1, 90, 100)).astype("u1")
+    assert (tiff.decode(packed(values, tile=(90, 100), packing=5)).values == values).all()
+    flat = np.zeros((1, 300, 400), "u1")
+    assert (tiff.decode(packed(flat, tile=(300, 400), packing=5)).values == flat).all()
+
+
+def test_tiff_errors_and_tiles(spark, tmp_path):
+    values = np.arange(12.0).reshape(1, 3, 4)
+    raster = tiff.Raster(values, (10.0, 1.0, 0.0, 20.0, 0.0, -1.0), "EPSG:32632", -9999.0)
+    assert tiff.decode(tiff.encode(raster)).no_data == -9999.0
+    (tmp_path / "a.tif").write_bytes(tiff.encode(raster))
+    (tmp_path / "b.tif").write_bytes(tiff.encode(raster)[:60])
+    (tmp_path / "c.tif").write_bytes(b"nothing")
+    (tmp_path / "d.tif").write_bytes(packed(values.astype("u1"), packing=1).replace(struct.pack("<HHII", 259, 3, 1, 1), struct.pack("<HHII", 259, 3, 1, 7)))
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in tiff.read(spark, str(tmp_path)).collect()}
+    assert rows["a.tif"]["error"] is None and rows["a.tif"]["bands"] == [values.ravel().tolist()] and rows["a.tif"]["no_data"] == -9999.0
+    assert all(rows[f]["error"] and rows[f]["width"] is None for f in ("b.tif", "c.tif", "d.tif"))
+    tiles = tiff.read(spark, str(tmp_path)).where("error is null").select(F.lit("t_0.tif").alias("name"), "height", "width", "dtype", "gt", "crs", "bands")
+    assert tiff.write(tiles, str(tmp_path / "out")) == 1
+    again = tiff.read(spark, str(tmp_path / "out")).first()
+    assert again["bands"] == rows["a.tif"]["bands"] and again["gt"] == rows["a.tif"]["gt"] and again["crs"] == "EPSG:32632"
+
+
+def test_images(spark, tmp_path):
+    pixels = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 8, 7])
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    lines = b"".join(b"\0" + pixels[k : k + 6] for k in (0, 6))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    (tmp_path / "x.png").write_bytes(png)
+    (tmp_path / "y.jpg").write_bytes(b"no image")
+    (row,) = tiff.read_images(spark, str(tmp_path)).collect()
+    assert (row["width"], row["height"], row["n_bands"]) == (2, 2, 3) and row["bands"] == [[255.0, 0.0, 0.0, 9.0], [0.0, 255.0, 0.0, 8.0], [0.0, 0.0, 255.0, 7.0]]
