@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import mean, paired
-from .focal import pool, sobel
+from .focal import bilinear, sobel
 from .metrics import log_l1, mse
 
 #: The weights of the terms of the image translation objective.
@@ -34,10 +34,10 @@ def gradient_losses() -> tuple[Column, Column]:
 
 
 def multiscale(t: Column, p: Column, height: int, width: int) -> Column:
-    """Squared error at full size, plus twice that at half and three times that at a quarter of it."""
+    """Squared error at full size, plus twice that at half and three times that at a quarter of it, bilinear."""
     out = mse(t, p)
     for k, by in ((2, 2), (3, 4)):
-        out += k * mse(pool(t, by, height, width), pool(p, by, height, width))
+        out += k * mse(*(bilinear(v, height, width, height // by, width // by) for v in (t, p)))
     return out
 
 

@@ -141,8 +141,9 @@ def log_l1_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pooled_sql(by: int, n: int) -> str:
-    cells = " + ".join(f"(t[(i // {n} * {by} + {a}) * 8 + i % {n} * {by} + {b} + 1])" for a in range(by) for b in range(by))
-    return f"({cells}) / {by * by} - ({cells.replace('t[', 'p[')}) / {by * by}"
+    middle = (by // 2 - 1, by // 2)  # the four pixels around the place that a smaller one comes from
+    cells = " + ".join(f"(t[(i // {n} * {by} + {a}) * 8 + i % {n} * {by} + {b} + 1])" for a in middle for b in middle)
+    return f"({cells}) / 4 - ({cells.replace('t[', 'p[')}) / 4"
 
 
 def _scale_sql(by: int) -> str:

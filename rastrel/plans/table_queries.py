@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,10 +107,14 @@ def split_70_10_20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.split(model.table(spark, sf_dir, "orders"), "split", "o_orderkey")
 
 
-@query("""WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY md5('69-0|' || p_partkey), p_partkey) AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
-    SELECT p_partkey, p_brand, CASE WHEN k <= greatest(1, floor(n * 0.05::DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM r""")
+@query("""WITH r AS (SELECT p_partkey, p_brand, k.k AS repeat, row_number() OVER (PARTITION BY k.k, p_brand ORDER BY md5('69-' || k.k || '|' || p_partkey), p_partkey) AS rank,
+                       count(*) OVER (PARTITION BY k.k, p_brand) AS n FROM part, range(10) k(k))
+    SELECT p_partkey, p_brand, repeat, CASE WHEN rank <= greatest(1, floor(n * 0.05::DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM r""")
 def stratified_split_5_95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.stratified(model.table(spark, sf_dir, "part"), 69, "p_partkey", "p_brand", 0.05)
+    """All ten repeats, each with a seed of its own."""
+    parts = model.table(spark, sf_dir, "part")
+    each = [sampling.stratified(parts, 69, "p_partkey", "p_brand", 0.05, k).withColumn("repeat", F.lit(k).cast("long")) for k in range(10)]
+    return reduce(DataFrame.union, each)
 
 
 @query("""WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY md5('69-0|' || p_partkey), p_partkey) AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
@@ -306,14 +312,14 @@ def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT vec_id AS tile_id, CASE WHEN toxic = 0 THEN 0 ELSE quality END AS truth FROM embeddings JOIN labels ON doc_id = vec_id WHERE NOT (CASE WHEN toxic = 0 THEN 0 ELSE quality END = 0)")
+@query("SELECT vec_id AS tile_id, CASE WHEN toxic = 0 THEN 0 ELSE quality END AS truth, CASE WHEN toxic = 0 THEN 0 ELSE quality END - 1 AS label FROM embeddings JOIN labels ON doc_id = vec_id WHERE NOT (CASE WHEN toxic = 0 THEN 0 ELSE quality END = 0)")
 def labelled_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels whose class is known after those without a prediction are cleared."""
+    """Pixels whose class is known after those without a prediction are cleared; label counts the classes from 0."""
     from ..operators.masks import labelled_only
 
     pixels = model.class_pixels(spark, sf_dir).withColumnRenamed("px_id", "tile_id")
     rows = model.tiles(spark, sf_dir).select("tile_id").join(pixels, "tile_id")
-    return rows.select("tile_id", labelled_only(F.col("y_true"), F.col("y_pred")).alias("truth")).where("truth <> 0")
+    return rows.select("tile_id", labelled_only(F.col("y_true"), F.col("y_pred")).alias("truth")).where("truth <> 0").withColumn("label", F.col("truth") - 1)
 
 
 @query()
@@ -331,6 +337,4 @@ def forest_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def plasma_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import numpy as np
-
-    return augment.per_tile(model.tiles(spark, sf_dir), lambda i, t: augment.plasma(8, 3.0, np.random.default_rng(i)), 8, 8)
+    return augment.per_batch(model.tiles(spark, sf_dir), lambda ids, _: augment.plasma(8, 3.0, augment.draws(ids, 64)), 8, 8)
