@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def key(seed: object, *parts: Column) -> Column:
-    """32 hex digits from the seed and the parts."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]).cast("binary"))
+    """32 hex digits from the seed (a value or a column) and the parts."""
+    first = seed if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat_ws("|", first, *[p.cast("string") for p in parts]).cast("binary"))
 
 
 def uniform(seed: object, *parts: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 
 def meeting(regions: DataFrame, scenes: DataFrame, cell: float = 1.0) -> DataFrame:
     """region_id, scene_id of boxes (xmin, ymin, xmax, ymax) that meet.
@@ -28,13 +30,14 @@ def chosen(scenes: DataFrame, start: str, end: str, most_cloud: float) -> DataFr
     such a scene keeps all of its own."""
     fits = (F.col("acq_date") >= F.lit(start).cast("date")) & (F.col("acq_date") < F.lit(end).cast("date")) & (F.col("cloud_pct") < most_cloud)
     marked = scenes.withColumn("fits", F.coalesce(fits, F.lit(False)))
-    n = F.sum(F.col("fits").cast("int")).over(Window.partitionBy("region"))
-    return marked.withColumn("_n", n).where("fits or _n = 0").drop("_n")
+    served = marked.where("fits").select(F.col("region").alias("_served"), F.lit(True).alias("_any")).distinct()
+    both = marked.join(served, F.col("region").eqNullSafe(F.col("_served")), "left")
+    return both.where("fits or _any is null").drop("_served", "_any")
 
 
 def composite(observations: DataFrame, *keys: str) -> DataFrame:
     """The median of v by the keys, and the number of observations."""
-    return observations.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"), F.median("v").alias("v"))
+    return quantiles(observations, "v", {"v": 0.5}, *keys).withColumnRenamed("n", "n_obs")
 
 
 def pending(wanted: DataFrame, outputs: DataFrame, kinds: tuple[str, ...]) -> DataFrame:

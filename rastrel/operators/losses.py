@@ -10,7 +10,7 @@ from .focal import bilinear, sobel
 from .metrics import log_l1, mse
 
 #: The weights of the terms of the image translation objective.
-WEIGHTS = {"gan": 1.0, "recon_x": 10.0, "recon_kl": 0.01, "recon_x_cyc": 10.0, "recon_kl_cyc": 0.01}
+WEIGHTS = {"gan": 1.0, "recon_x": 10.0, "recon_kl": 0.01, "recon_x_cyc": 10.0, "recon_kl_cyc": 0.01, "vgg": 0.0}
 
 
 def with_gradients(pairs: DataFrame, height: int, width: int) -> DataFrame:
@@ -64,6 +64,38 @@ def translation_total(t: Column, p: Column, code: Column) -> Column:
     return WEIGHTS["gan"] * least_squares_gan(p, 1.0) + WEIGHTS["recon_x"] * l1(t, p) + WEIGHTS["recon_kl"] * square(code) + WEIGHTS["recon_x_cyc"] * l1(p, t) + WEIGHTS["recon_kl_cyc"] * square(p)
 
 
+def instance_normed(v: Column) -> Column:
+    """A channel less its mean, over its deviation."""
+
+    def of(m: Column) -> Column:
+        spread = F.sqrt(mean(F.transform(v, lambda x: (x - m) * (x - m))) + 1e-5)
+        return F.element_at(F.transform(F.array(spread), lambda s: F.transform(v, lambda x: (x - m) / s)), 1)
+
+    return F.element_at(F.transform(F.array(mean(v)), of), 1)
+
+
+def translation_terms(
+    x: Column, judged: Column, recon: Column, code: Column, cycle: Column, cycle_code: Column, seen: Column, target: Column
+) -> dict[str, Column]:
+    """The six terms of a direction, without weights: of the discriminator's outputs for the translated image, of the
+    image and its code rebuilt at once and over the cycle, and of the features seen and aimed at."""
+    features = paired(instance_normed(seen), instance_normed(target), lambda a, b: (a - b) * (a - b))
+    return {
+        "gan": least_squares_gan(judged, 1.0), "recon_x": l1(recon, x), "recon_kl": square(code),
+        "recon_x_cyc": l1(cycle, x), "recon_kl_cyc": square(cycle_code), "vgg": mean(features),
+    }
+
+
+def weighted_total(directions: list[dict[str, Column]], weights: dict[str, float] = WEIGHTS) -> Column:
+    """The objective: all terms of all directions by their weights; terms of weight 0 are not worked out."""
+    out = F.lit(0.0)
+    for terms in directions:
+        for name, term in terms.items():
+            if weights[name]:
+                out = out + weights[name] * term
+    return out
+
+
 def rate_by_epoch(rate: float, epoch: Column, every: int = 5, factor: float = 0.9) -> Column:
     return rate * F.pow(F.lit(factor), F.floor(epoch / every))
 

@@ -38,9 +38,10 @@ def latest(files: DataFrame, kind: Column, iteration: Column) -> DataFrame:
     return files.select(kind.alias("kind"), F.col("name"), iteration.alias("_at")).where("_at is not null").groupBy("kind").agg(F.max_by("name", "_at").alias("name"))
 
 
-def report_rows(last: int, every: int, spark) -> DataFrame:
-    """iter, text of the report's sections, the latest first in iter's order."""
-    return spark.range(1).select(F.explode(F.sequence(F.lit(every), F.lit(last), F.lit(every))).alias("iter")).select(F.col("iter").cast("long").alias("iter"), F.format_string("iteration [%d]", "iter").alias("text"))
+def report_rows(log: DataFrame, every: int) -> DataFrame:
+    """iter, text of the report's sections: the logged iterations that are whole steps of every, each once."""
+    due_ = log.where((F.col("iter") > 0) & due(F.col("iter"), every)).select(F.col("iter").cast("long").alias("iter"))
+    return due_.distinct().select("iter", F.format_string("iteration [%d]", "iter").alias("text"))
 
 
 def parts(files: DataFrame, part_bytes: int = 70_000_000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions.arrays import paired, total
 from ..operators import classify, focal, losses, masks, metrics, transforms
+from ..operators.ranks import quantiles
 from .registry import PAIRS, TILES, query
 
 _SIDE = model.SIDE
@@ -83,7 +84,12 @@ def nan_mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT site, min(v) AS low, max(v) AS high, round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS deviation, round(quantile_cont(v, 0.01), 9) AS p1, round(quantile_cont(v, 0.99), 9) AS p99 FROM x GROUP BY site""")
 def raster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = model.tiles(spark, sf_dir).select("site", F.explode("v").alias("v"))
-    return rows.groupBy("site").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.round(F.avg("v"), 9).alias("mean"), F.round(F.stddev_pop("v"), 9).alias("deviation"), *[F.round(F.percentile("v", F.lit(q)), 9).alias(n) for n, q in (("p1", 0.01), ("p99", 0.99))])
+    plain = [
+        F.min("v").alias("low"), F.max("v").alias("high"),
+        F.round(F.avg("v"), 9).alias("mean"), F.round(F.stddev_pop("v"), 9).alias("deviation"),
+    ]
+    out = quantiles(rows, "v", {"p1": 0.01, "p99": 0.99}, "site", also=plain)
+    return out.select("site", "low", "high", "mean", "deviation", *[F.round(c, 9).alias(c) for c in ("p1", "p99")])
 
 
 def _sorted_percentile(q: float) -> Column:
@@ -201,9 +207,51 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.pairs(spark, sf_dir).select("tile_id", F.round(total(F.transform(t, lambda x: x * x)), 9).alias("squares"), F.round(transforms.length(t), 9).alias("length"), F.round(F.get(transforms.softmax(t), F.lit(0)), 9).alias("first_softmax"), F.greatest(F.get("t", F.lit(0)), F.get("p", F.lit(0))).alias("larger"))
 
 
-@query()
+def _ssim_sql(window: int, by: int) -> str:
+    """Over tiles enlarged by times."""
+    n, places = window * window, 8 * by - window + 1
+    at = f"((kr + i // {window}) // {by}) * 8 + (kc + i % {window}) // {by} + 1"
+    fix = f"({n} / {n - 1}::DOUBLE)"
+    return f"""WITH {PAIRS}, x AS (SELECT tile_id, kr, kc, t[{at}] AS x, p[{at}] AS y
+                 FROM pairs, range({places}) a(kr), range({places}) b(kc), range({n}) c(i)),
+        w AS (SELECT tile_id, kr, kc, avg(x) AS ux, avg(y) AS uy, avg(x * x) AS xx, avg(y * y) AS yy, avg(x * y) AS xy
+              FROM x GROUP BY tile_id, kr, kc),
+        s AS (SELECT tile_id, (2 * ux * uy + 1e-4) * (2 * {fix} * (xy - ux * uy) + 9e-4)
+                     / ((ux * ux + uy * uy + 1e-4) * ({fix} * (xx - ux * ux) + {fix} * (yy - uy * uy) + 9e-4)) AS s FROM w)
+        SELECT tile_id, round(avg(s), 9) AS ssim FROM s GROUP BY tile_id"""
+
+
+@query(_ssim_sql(7, 1))
 def ssim_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.pairs(spark, sf_dir).select("tile_id", metrics.ssim(F.col("t"), F.col("p"), _SIDE, _SIDE).alias("ssim"))
+    score = metrics.ssim(F.col("t"), F.col("p"), _SIDE, _SIDE)
+    return model.pairs(spark, sf_dir).select("tile_id", F.round(score, 9).alias("ssim"))
+
+
+@query(_ssim_sql(15, 2))
+def ssim_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a window of 15, over tiles of twice the size."""
+    big = [focal.enlarge(F.col(c), 2, _SIDE, _SIDE).alias(c) for c in ("t", "p")]
+    score = metrics.ssim(F.col("t"), F.col("p"), 2 * _SIDE, 2 * _SIDE, 15)
+    return model.pairs(spark, sf_dir).select("tile_id", *big).select("tile_id", F.round(score, 9).alias("ssim"))
+
+
+@query(f"""WITH {PAIRS}, m AS (SELECT *, {_sum('t[i]')} / 64 AS mt, {_sum('p[i]')} / 64 AS mp FROM pairs),
+    d AS (SELECT *, sqrt({_sum('(t[i] - mt) * (t[i] - mt)')} / 64 + 1e-5) AS dt,
+                 sqrt({_sum('(p[i] - mp) * (p[i] - mp)')} / 64 + 1e-5) AS dp FROM m),
+    x AS (SELECT tile_id, {_sum('(p[i] - 1) * (p[i] - 1) + (t[i] - 1) * (t[i] - 1)')} / 64 AS adversarial,
+                 2 * {_sum('abs(t[i] - p[i])')} / 64 AS recon, {_sum('t[i] * t[i] + p[i] * p[i]')} / 64 AS code,
+                 2 * {_sum('pow((t[i] - mt) / dt - (p[i] - mp) / dp, 2)')} / 64 AS perceptual FROM d)
+    SELECT tile_id, round(adversarial, 9) AS adversarial, round(recon, 9) AS recon, round(code, 9) AS code,
+           round(perceptual, 9) AS perceptual, round(adversarial + 20 * recon + 0.02 * code + perceptual, 9) AS total FROM x""")
+def translation_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve terms, six a direction; a tile and the next one stand in for images, codes and features."""
+    t, p = F.col("t"), F.col("p")
+    terms = [losses.translation_terms(x, y, y, x, y, y, x, y) for x, y in ((t, p), (p, t))]
+    both = {name: terms[0][name] + terms[1][name] for name in terms[0]}
+    total_ = losses.weighted_total(terms, {**losses.WEIGHTS, "vgg": 1.0})
+    shown = {"adversarial": "gan", "recon": "recon_x", "code": "recon_kl", "perceptual": "vgg"}
+    cols = [F.round(both[term], 9).alias(name) for name, term in shown.items()]
+    return model.pairs(spark, sf_dir).select("tile_id", *cols, F.round(total_, 9).alias("total"))
 
 
 @query(f"""WITH {PAIRS}, x AS (SELECT tile_id, unnest(list_transform(range(1, 65), lambda i: abs(t[i] - p[i]))) AS d FROM pairs) SELECT tile_id, max(d) AS worst, count(*) FILTER (WHERE d > 0.25) AS n_off FROM x GROUP BY tile_id""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import geo, rng
-from ..operators import augment, focal, grid, masks, transforms
+from ..operators import augment, focal, grid, masks, sampling, transforms
 from .registry import PAIRS, TILES, query
 
 _SIDE = model.SIDE
@@ -128,6 +128,19 @@ def channel_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(model.tiles(spark, sf_dir), red=transforms.normalise(v, transforms.MEANS[0], transforms.DEVIATIONS[0]), scaled=transforms.normalise(v, 0.0, 255.0), shown=transforms.normalise(v, -1.0, 2.0))
 
 
+_DRAW = "('0x' || substr(md5('crop{0}|' || tile_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query(f"""WITH {TILES}, u AS (SELECT tile_id, v, floor({_DRAW.format('r')} * 4)::BIGINT AS r, floor({_DRAW.format('c')} * 4)::BIGINT AS c,
+                 {_DRAW.format('f')} < 0.5 AS f FROM tiles)
+    SELECT tile_id, i, round(v[(r + i // 5) * 8 + c + CASE WHEN f THEN 4 - i % 5 ELSE i % 5 END + 1], 9) AS v FROM u, range(25) x(i)""")
+def random_crop_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixels of a random crop of 5 by 5, every other one mirrored."""
+    row, col, flip = sampling.random_window("crop", F.col("tile_id"), 8, 8, 5)
+    cut = model.tiles(spark, sf_dir).select("tile_id", grid.cut(F.col("v"), row, col, 5, F.lit(8)).alias("v"), flip.alias("f"))
+    return _flat(cut, v=F.when(F.col("f"), transforms.flip_cols(F.col("v"), 5, 5)).otherwise(F.col("v")))
+
+
 _BANDS = TILES + ", rgb AS (SELECT a.tile_id, a.v AS red, b.v AS green, c.v AS blue FROM tiles a JOIN tiles b ON b.tile_id = a.tile_id + 1 JOIN tiles c ON c.tile_id = a.tile_id + 2)"
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,8 +111,7 @@ def split_70_10_20(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stratified_split_5_95(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ten repeats, each with a seed of its own."""
     parts = model.table(spark, sf_dir, "part")
-    each = [sampling.stratified(parts, 69, "p_partkey", "p_brand", 0.05, k).withColumn("repeat", F.lit(k).cast("long")) for k in range(10)]
-    return reduce(DataFrame.union, each)
+    return sampling.stratified(parts, 69, "p_partkey", "p_brand", 0.05, 10)
 
 
 @query("""WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY md5('69-0|' || p_partkey), p_partkey) AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
@@ -245,9 +242,10 @@ def metric_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.long_metrics(wide, "iter")
 
 
-@query("SELECT (i * 500)::BIGINT AS iter, 'iteration [' || i * 500 || ']' AS text FROM range(1, 41) x(i)")
+@query("SELECT event_id AS iter, 'iteration [' || event_id || ']' AS text FROM events WHERE event_id > 0 AND event_id % 500 = 0")
 def html_report_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runlog.report_rows(20_000, 500, spark).orderBy(F.desc("iter"))
+    log = model.table(spark, sf_dir, "events").select(F.col("event_id").alias("iter"))
+    return runlog.report_rows(log, 500).orderBy(F.desc("iter"))
 
 
 @query("""WITH f AS (SELECT p_name AS name, p_partkey, p_partkey * 123457 + 1 AS size FROM part) SELECT name, k AS part, k * 70000000 AS start, least(70000000, size - k * 70000000) AS size FROM (SELECT *, unnest(range(greatest(1, ceil(size / 70000000)::BIGINT))) AS k FROM f)""")
