@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import names
 from ..operators import augment, catalog, losses, pairing, runlog, sampling
+from ..sources import sinks
 from .registry import RUNLOG, SCENES, TILES, query
 
 _CHOSEN = f"""{SCENES}, m AS (SELECT *, acq_date >= DATE '2024-01-05' AND acq_date < DATE '2024-01-08' AND cloud_pct < 2 AS fits FROM scenes),
@@ -253,6 +254,14 @@ def file_part_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.parts(model.table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), (F.col("p_partkey") * 123457 + 1).alias("size")))
 
 
+@query("""SELECT page_id AS name, greatest(1, ceil(octet_length(encode(coalesce(html, ''))) / 1000))::INTEGER AS n_parts, sha256(coalesce(html, '')) AS digest FROM pages""")
+def byte_parts_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages cut into parts of 1000 bytes and put together again from parts in another order."""
+    files = model.table(spark, sf_dir, "pages").select(F.col("page_id").alias("name"), F.encode("html", "UTF-8").alias("content"))
+    parts = sinks.split_bytes(files, 1000).repartition(F.hash("part", "name"))
+    return sinks.rejoined(parts).select("name", "n_parts", F.sha2("content", 256).alias("digest"))
+
+
 @query("""SELECT event_id, '{"seed":' || user_id || ',"kind":"' || event_type || '"}' AS log, user_id AS seed, (props->>'k')::BIGINT AS k FROM events""")
 def json_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = F.to_json(F.struct(F.col("user_id").alias("seed"), F.col("event_type").alias("kind")))

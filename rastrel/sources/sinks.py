@@ -17,11 +17,29 @@ def manifests(splits: DataFrame, path: str, key: str = "tile_id") -> None:
     splits.select("split", F.format_string("%04d", key).alias("value")).write.partitionBy("split").text(path)
 
 
-def logs(rows: DataFrame, path: str) -> None:
-    """A JSON object per row."""
-    rows.write.json(path)
+def logs(rows: DataFrame, path: str, *by: str) -> None:
+    """A JSON object per row, in a folder for each value of by, if given: the copies of a log by trial, say."""
+    (rows.write.partitionBy(*by) if by else rows.write).json(path)
 
 
 def texts(rows: DataFrame, path: str, pattern: str, *columns: str) -> None:
     """A line per row, the columns put into a printf pattern."""
     rows.select(F.format_string(pattern, *columns).alias("value")).write.text(path)
+
+
+def split_bytes(files: DataFrame, part_bytes: int = 70_000_000) -> DataFrame:
+    """name, part, n_parts, content of files (name, content): pieces of part_bytes, the last one shorter. Null content
+    counts as empty, and an empty file is one empty part."""
+    whole = F.coalesce("content", F.lit(b""))
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length(whole) / part_bytes)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(whole, k * part_bytes + 1, F.lit(part_bytes)))
+    return files.select("name", n.alias("n_parts"), F.posexplode(cut).alias("part", "content")).select("name", "part", "n_parts", "content")
+
+
+def rejoined(parts: DataFrame) -> DataFrame:
+    """name, n_parts, content of parts as split_bytes() makes them, in any order. Content is null where a part is
+    missing or is there twice."""
+    held = parts.groupBy("name").agg(F.max("n_parts").alias("n_parts"), F.sort_array(F.collect_list(F.struct("part", "content"))).alias("_p"))
+    whole = F.unhex(F.array_join(F.transform("_p", lambda p: F.hex(p["content"])), ""))
+    complete = F.transform("_p", lambda p: p["part"]) == F.sequence(F.lit(0), F.col("n_parts") - 1)
+    return held.select("name", "n_parts", F.when(complete, whole).alias("content"))

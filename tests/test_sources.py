@@ -194,3 +194,21 @@ def test_images(spark, tmp_path):
     (tmp_path / "y.jpg").write_bytes(b"no image")
     (row,) = tiff.read_images(spark, str(tmp_path)).collect()
     assert (row["width"], row["height"], row["n_bands"]) == (2, 2, 3) and row["bands"] == [[255.0, 0.0, 0.0, 9.0], [0.0, 255.0, 0.0, 8.0], [0.0, 0.0, 255.0, 7.0]]
+
+
+def test_bytes_split_and_rejoined(spark):
+    rows = [("a", bytes(range(256)) * 5), ("b", b""), ("c", None), ("d", b"x" * 100)]
+    parts = sinks.split_bytes(spark.createDataFrame(rows, "name string, content binary"), 100)
+    assert {r.name: r.n for r in parts.groupBy("name").count().toDF("name", "n").collect()} == {"a": 13, "b": 1, "c": 1, "d": 1}
+    whole = {r.name: bytes(r.content) for r in sinks.rejoined(parts.orderBy(parts.part.desc())).collect()}
+    assert whole == {n: c or b"" for n, c in rows}
+    gaps = {r.name: r.content for r in sinks.rejoined(parts.where("part <> 12")).collect()}
+    assert gaps["a"] is None and gaps["d"] is not None
+    twice = {r.name: r.content for r in sinks.rejoined(parts.union(parts.where("name = 'd'"))).collect()}
+    assert twice["d"] is None and twice["a"] is not None
+
+
+def test_logs_by_trial(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0.5), (1, 0.25), (2, 1.0)], "trial int, loss double")
+    sinks.logs(rows, f"{tmp_path}/logs", "trial")
+    assert spark.read.json(f"{tmp_path}/logs/trial=1").count() == 2
