@@ -10,7 +10,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_A, _FLAT, _SCALE = 6378137.0, 1 / 298.257223563, 0.9996
+_A, _FLAT, SCALE = 6378137.0, 1 / 298.257223563, 0.9996
+ECCENTRICITY = 2 * math.sqrt(_FLAT / (2 - _FLAT)) / (1 + _FLAT / (2 - _FLAT))
 
 
 def place(gt: Column, row: Column, col: Column) -> tuple[Column, Column]:
@@ -38,7 +39,8 @@ def ring(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
     return F.array(*[F.array(x, y) for x, y in ((xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax), (xmin, ymin))])
 
 
-def _series() -> tuple[float, list[float], list[float]]:
+def series() -> tuple[float, list[float], list[float]]:
+    """The radius of the rectifying sphere, and the coefficients towards the plane and back."""
     n = _FLAT / (2 - _FLAT)
     radius = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     forward = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
@@ -48,24 +50,22 @@ def _series() -> tuple[float, list[float], list[float]]:
 
 def to_utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
     """Easting and northing on WGS 84 by the third-order Krueger series (within a millimetre in a zone)."""
-    radius, alpha, _ = _series()
-    e = 2 * math.sqrt(_FLAT / (2 - _FLAT)) / (1 + _FLAT / (2 - _FLAT))
+    radius, alpha, _ = series()
     phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
-    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
+    t = F.sinh(F.atanh(F.sin(phi)) - ECCENTRICITY * F.atanh(ECCENTRICITY * F.sin(phi)))
     xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
     east, north = eta, xi
     for j, a in enumerate(alpha, 1):
         east += a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north += a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return 500000 + _SCALE * radius * east, F.when(lat < 0, 10000000.0).otherwise(0.0) + _SCALE * radius * north
+    return 500000 + SCALE * radius * east, F.when(lat < 0, 10000000.0).otherwise(0.0) + SCALE * radius * north
 
 
 def from_utm(east: Column, north: Column, zone: Column, south: Column) -> tuple[Column, Column]:
     """Longitude and latitude, the inverse of to_utm."""
-    radius, _, beta = _series()
-    e = 2 * math.sqrt(_FLAT / (2 - _FLAT)) / (1 + _FLAT / (2 - _FLAT))
-    xi = (north - F.when(south, 10000000.0).otherwise(0.0)) / (_SCALE * radius)
-    eta = (east - 500000) / (_SCALE * radius)
+    radius, _, beta = series()
+    xi = (north - F.when(south, 10000000.0).otherwise(0.0)) / (SCALE * radius)
+    eta = (east - 500000) / (SCALE * radius)
     x, y = xi, eta
     for j, b in enumerate(beta, 1):
         x -= b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
@@ -73,5 +73,5 @@ def from_utm(east: Column, north: Column, zone: Column, south: Column) -> tuple[
     chi = F.asin(F.sin(x) / F.cosh(y))
     phi = chi
     for _ in range(4):  # the isometric latitude, undone by fixed-point steps
-        phi = F.asin(F.tanh(F.atanh(F.sin(chi)) + e * F.atanh(e * F.sin(phi))))
+        phi = F.asin(F.tanh(F.atanh(F.sin(chi)) + ECCENTRICITY * F.atanh(ECCENTRICITY * F.sin(phi))))
     return F.degrees(F.atan2(F.sinh(y), F.cos(x))) + (zone * 6 - 183), F.degrees(phi)

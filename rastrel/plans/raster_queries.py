@@ -93,12 +93,43 @@ def utm_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _places(spark, sf_dir).select("place_id", geo.utm_zone(F.col("lon")).alias("zone"), geo.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"))
 
 
-@query()
+def _utm_sql() -> str:
+    """The third-order Krueger series both ways, with the projection's constants worked out."""
+    radius, alpha, beta = geo.series()
+    e = geo.ECCENTRICITY
+    terms = lambda cs, f, g, a, b: " + ".join(f"{c!r}::DOUBLE * {f}({2 * j} * {a}) * {g}({2 * j} * {b})" for j, c in enumerate(cs, 1))
+    latitude = "chi"
+    for _ in range(4):
+        latitude = f"asin(tanh(atanh(sin(chi)) + {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin({latitude}))))"
+    return f"""WITH p AS (SELECT c_custkey AS place_id, (c_custkey * 7 % 3601) / 10.0::DOUBLE - 180 AS lon,
+            (c_custkey * 13 % 1601) / 10.0::DOUBLE - 80 AS lat FROM customer),
+        z AS (SELECT *, least(60, floor((lon + 180) / 6)::INTEGER + 1) AS zone, lat < 0 AS south FROM p),
+        k AS (SELECT place_id, zone, south, radians(lon + dx - (zone * 6 - 183)) AS lam,
+                radians(CASE WHEN south THEN least(lat + dy, -1e-9::DOUBLE) ELSE greatest(lat + dy, 0.0::DOUBLE) END) AS phi
+            FROM z, (VALUES (-0.25::DOUBLE), (0.25::DOUBLE)) a(dx), (VALUES (-0.25::DOUBLE), (0.25::DOUBLE)) b(dy)),
+        t AS (SELECT *, sinh(atanh(sin(phi)) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(phi))) AS t FROM k),
+        x AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t),
+        m AS (SELECT place_id, zone, south,
+                500000 + {geo.SCALE * radius!r}::DOUBLE * (eta + {terms(alpha, "cos", "sinh", "xi", "eta")}) AS x,
+                CASE WHEN phi < 0 THEN 10000000.0::DOUBLE ELSE 0 END
+                    + {geo.SCALE * radius!r}::DOUBLE * (xi + {terms(alpha, "sin", "cosh", "xi", "eta")}) AS y FROM x),
+        box AS (SELECT place_id, zone, south, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax
+            FROM m GROUP BY place_id, zone, south),
+        u AS (SELECT *, (ymin - CASE WHEN south THEN 10000000.0::DOUBLE ELSE 0 END) / {geo.SCALE * radius!r}::DOUBLE AS xi,
+                (xmin - 500000) / {geo.SCALE * radius!r}::DOUBLE AS eta FROM box),
+        w AS (SELECT *, xi - ({terms(beta, "sin", "cosh", "xi", "eta")}) AS wx, eta - ({terms(beta, "cos", "sinh", "xi", "eta")}) AS wy FROM u),
+        c AS (SELECT *, asin(sin(wx) / cosh(wy)) AS chi FROM w)
+        SELECT place_id, zone, round(xmin, 2) AS xmin, round(ymin, 2) AS ymin, round(xmax, 2) AS xmax, round(ymax, 2) AS ymax,
+            round(degrees(atan2(sinh(wy), cos(wx))) + (zone * 6 - 183), 6) AS lon, round(degrees({latitude}), 6) AS lat FROM c"""
+
+
+@query(_utm_sql())
 def utm_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each place's box of half a degree in metres of its zone, from the four corners, and the way back."""
+    """Each place's box of half a degree in metres of its zone, from the four corners, to the centimetre, and the way
+    back. A box that crosses the equator stops there."""
     zone = geo.utm_zone(F.col("lon"))
     corners = F.array(*[F.struct((F.col("lon") + dx).alias("lon"), (F.col("lat") + dy).alias("lat")) for dx in (-0.25, 0.25) for dy in (-0.25, 0.25)])
-    rows = _places(spark, sf_dir).where("abs(lat) <= 79").select("place_id", zone.alias("zone"), corners.alias("corners"), (F.col("lat") < 0).alias("south"))
+    rows = _places(spark, sf_dir).select("place_id", zone.alias("zone"), corners.alias("corners"), (F.col("lat") < 0).alias("south"))
 
     def metre(k: Column) -> Column:
         x, y = geo.to_utm(k["lon"], F.when(F.col("south"), F.least(k["lat"], F.lit(-1e-9))).otherwise(F.greatest(k["lat"], F.lit(0.0))), F.col("zone"))
@@ -108,7 +139,8 @@ def utm_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     low, high = (lambda c: F.array_min(F.col(f"m.{c}"))), (lambda c: F.array_max(F.col(f"m.{c}")))
     rows = rows.select("place_id", "zone", "south", low("x").alias("xmin"), low("y").alias("ymin"), high("x").alias("xmax"), high("y").alias("ymax"))
     lon, lat = geo.from_utm(F.col("xmin"), F.col("ymin"), F.col("zone"), F.col("south"))
-    return rows.select("place_id", "zone", "xmin", "ymin", "xmax", "ymax", lon.alias("lon"), lat.alias("lat"))
+    metres = [F.round(c, 2).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]
+    return rows.select("place_id", "zone", *metres, F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
 @query(f"""WITH {_CELLS} SELECT tile_id, i, round(v[(7 - r) * 8 + c + 1], 9) AS upside_down, round(v[r * 8 + (7 - c) + 1], 9) AS mirrored, round(v[c * 8 + (7 - r) + 1], 9) AS quarter, round(v[63 - i + 1], 9) AS half, round(v[(7 - c) * 8 + r + 1], 9) AS three_quarters FROM g""")
@@ -269,9 +301,25 @@ def plasma_fog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.join(maps, "tile_id").select("tile_id", augment.fogged(F.col("v"), F.col("fractal"), 1.5).alias("v"))
 
 
-@query()
+def _bspline(d: str) -> str:
+    """The quadratic B-spline at d."""
+    return f"CASE WHEN abs({d}) <= 0.5 THEN 0.75 - {d} * {d} WHEN abs({d}) <= 1.5 THEN 0.5 * (1.5 - abs({d})) * (1.5 - abs({d})) ELSE 0.0 END"
+
+
+@query(
+    f"""WITH {TILES},
+    turned AS (SELECT tile_id, v, i, radians((tile_id % 90)::DOUBLE) AS t, i // 8 - 3.5::DOUBLE AS y, i % 8 - 3.5::DOUBLE AS x
+        FROM tiles, range(64) p(i)),
+    source AS (SELECT tile_id, v, i, cos(t) * y + sin(t) * x + 3.5 AS sy, -sin(t) * y + cos(t) * x + 3.5 AS sx FROM turned),
+    near AS (SELECT *, round_even(sy, 0)::BIGINT + dr AS r, round_even(sx, 0)::BIGINT + dc AS c
+        FROM source, (VALUES (-1), (0), (1)) a(dr), (VALUES (-1), (0), (1)) b(dc)),
+    taps AS (SELECT *, ({_bspline("(sy - r)")}) * ({_bspline("(sx - c)")}) AS w FROM near)
+    SELECT tile_id, i, round(sum(CASE WHEN r BETWEEN 0 AND 7 AND c BETWEEN 0 AND 7 THEN w * v[r * 8 + c + 1] ELSE 0 END) / sum(w), 9) AS v
+    FROM taps GROUP BY tile_id, i"""
+)
 def rotate_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return augment.per_batch(model.tiles(spark, sf_dir), lambda ids, t: augment.rotated(t, ids % 90), 8, 8)
+    """Each tile turned by its number of degrees, modulo 90."""
+    return _flat(augment.per_batch(model.tiles(spark, sf_dir), lambda ids, t: augment.rotated(t, ids % 90), 8, 8), v=F.col("v"))
 
 
 @query()
@@ -280,11 +328,45 @@ def motion_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
     return augment.per_batch(model.tiles(spark, sf_dir), lambda ids, t: augment.convolve(t, kernels(ids)), 8, 8)
 
 
-@query()
+#: Kernels of resampling at the place named x: cubic reaches over 2 places, lanczos over 3.
+_KERNELS = {
+    "cubic": (2, "CASE WHEN abs(x) < 1 THEN 1.5 * abs(x) ** 3 - 2.5 * x * x + 1 ELSE -0.5 * abs(x) ** 3 + 2.5 * x * x - 4 * abs(x) + 2 END"),
+    "lanczos": (3, "CASE WHEN x = 0 THEN 1.0 ELSE sin(pi() * x) / (pi() * x) * (sin(pi() * x / 3) / (pi() * x / 3)) END"),
+}
+
+
+def _weights(name: str, n: int, m: int, how: str) -> str:
+    """A common table o, k, w: what place k of n adds to place o of m."""
+    reach, kernel = _KERNELS[how]
+    wide = max(1.0, n / m)
+    return f"""{name} AS (SELECT o, k, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, k, {kernel} AS w
+        FROM (SELECT o, k, (k - ((o + 0.5::DOUBLE) * {n} / {m} - 0.5)) / {wide}::DOUBLE AS x FROM range({m}) a(o), range({n}) b(k))
+        WHERE abs(x) < {reach}))"""
+
+
+def _resampled(name: str, source: str, rows: str, columns: str) -> str:
+    """A common table tile_id, r, c, v: the table source with its rows and columns weighted."""
+    return f"""{name}_rows AS (SELECT tile_id, o AS r, c, sum(w * v) AS v FROM {source}, {rows} WHERE k = r GROUP BY tile_id, o, c),
+    {name} AS (SELECT tile_id, r, o AS c, sum(w * v) AS v FROM {name}_rows, {columns} WHERE k = c GROUP BY tile_id, r, o)"""
+
+
+_PIXELS = f"{TILES}, px AS (SELECT tile_id, i // 8 AS r, i % 8 AS c, v[i + 1] AS v FROM tiles, range(64) p(i))"
+
+
+@query(
+    f"""WITH {_PIXELS}, {_weights("fewer", 8, 4, "cubic")}, {_weights("more", 4, 8, "cubic")},
+    {_resampled("down", "px", "fewer", "fewer")}, {_resampled("up", "down", "more", "more")}
+    SELECT tile_id, r * 8 + c AS i, round(v, 9) AS v FROM up"""
+)
 def cubic_down_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return augment.per_batch(model.tiles(spark, sf_dir), lambda _, t: augment.down_and_up(t, 0.5), 8, 8)
+    """Tiles made smaller by half and brought back."""
+    return _flat(augment.per_batch(model.tiles(spark, sf_dir), lambda _, t: augment.down_and_up(t, 0.5), 8, 8), v=F.col("v"))
 
 
-@query()
+@query(
+    f"""WITH {_PIXELS}, {_weights("tall", 8, 12, "lanczos")}, {_weights("wide", 8, 10, "lanczos")}, {_resampled("made", "px", "tall", "wide")}
+    SELECT tile_id, r * 10 + c AS i, round(v, 9) AS v FROM made"""
+)
 def lanczos_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return augment.per_batch(model.tiles(spark, sf_dir), lambda _, t: augment.resample(t, 12, 10), 8, 8)
+    """Tiles brought to 12 rows and 10 columns."""
+    return _flat(augment.per_batch(model.tiles(spark, sf_dir), lambda _, t: augment.resample(t, 12, 10), 8, 8), v=F.col("v"))

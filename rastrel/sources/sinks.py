@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +47,26 @@ def rejoined(parts: DataFrame) -> DataFrame:
     whole = F.unhex(F.array_join(F.transform("_p", lambda p: F.hex(p["content"])), ""))
     complete = F.transform("_p", lambda p: p["part"]) == F.sequence(F.lit(0), F.col("n_parts") - 1)
     return held.select("name", "n_parts", F.when(complete, whole).alias("content"))
+
+
+def files(rows: DataFrame, folder: str) -> int:
+    """Writes a file folder/name for each of rows (name, content) into a folder that every executor reaches, and returns
+    how many. Names may hold folders. A file appears under its name when it is whole, so that a task can be run again."""
+
+    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        named = "://" in folder or folder.startswith("file:")
+        store, root = fs.FileSystem.from_uri(folder) if named else (fs.LocalFileSystem(), folder)
+        for frame in frames:
+            for name, content in zip(frame["name"], frame["content"], strict=True):
+                place = f"{root}/{name}".rpartition("/")[0]
+                store.create_dir(place, recursive=True)
+                draft = f"{place}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft, compression=None) as out:
+                    out.write(content)
+                store.move(draft, f"{root}/{name}")
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    written = rows.select("name", "content").mapInPandas(put, "n long")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

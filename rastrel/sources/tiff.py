@@ -4,7 +4,6 @@ floats, any band count."""
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sinks
+
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 8: 2, 9: 4, 11: 4, 12: 8, 16: 8}
 _CODES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 _KINDS = {1: "u", 2: "i", 3: "f"}
@@ -243,20 +244,5 @@ def encoded(tiles: DataFrame) -> DataFrame:
 
 
 def write(tiles: DataFrame, folder: str) -> int:
-    """Writes a GeoTIFF file folder/name for each of tiles (see encoded) into a folder that every executor reaches, and
-    returns how many. A file appears under its name when it is whole, so that a task can be run again."""
-
-    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-        store.create_dir(root, recursive=True)
-        for frame in frames:
-            for name, content in zip(frame["name"], frame["content"], strict=True):
-                draft = f"{root}/.{uuid.uuid4().hex}"
-                with store.open_output_stream(draft, compression=None) as out:
-                    out.write(content)
-                store.move(draft, f"{root}/{name}")
-            yield pd.DataFrame({"n": [len(frame)]})
-
-    return encoded(tiles).mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    """Writes a GeoTIFF file folder/name for each of tiles (see encoded), as sinks.files() does, and returns how many."""
+    return sinks.files(encoded(tiles), folder)
