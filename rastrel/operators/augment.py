@@ -3,6 +3,7 @@ of tiles, a batch of a partition at a time and never a group."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,9 +26,11 @@ def fogged(v: Column, fractal: Column, severity: float) -> Column:
     return F.element_at(F.transform(F.array(top), mixed), 1)
 
 
-def draws(seeds: np.ndarray, count: int) -> np.ndarray:
-    """count numbers of -1..1 for each seed, a row each."""
-    return np.stack([np.random.default_rng(int(s)).uniform(-1, 1, count) for s in seeds])
+def draws(seeds: np.ndarray, count: int, name: str = "plasma") -> np.ndarray:
+    """count numbers of -1..1 for each seed, a row each: the k-th from the first 32 bits of MD5 of "name|seed|k"."""
+    digest = lambda s, k: int.from_bytes(hashlib.md5(f"{name}|{s}|{k}".encode()).digest()[:4], "big")
+    bits = np.array([[digest(int(s), k) for k in range(count)] for s in seeds], float).reshape(len(seeds), count)
+    return bits / 2**31 - 1
 
 
 def plasma(side: int, decay: float, noise: np.ndarray) -> np.ndarray:

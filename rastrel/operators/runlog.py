@@ -6,13 +6,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_mean(log: DataFrame, *keys: str) -> DataFrame:
+#: Whole numbers of the order to a stretch of a running window.
+STRETCH = 100_000
+
+
+def running_mean(log: DataFrame, *keys: str, stretch: int = STRETCH) -> DataFrame:
     """log (iter, n, value) with the sum, count and mean of the values so far within the keys, weighted by n. Sums are
-    decimal, so that they do not depend on the order in which partitions come."""
-    so_far = Window.partitionBy(*keys).orderBy("iter").rowsBetween(Window.unboundedPreceding, 0)
-    worth = F.sum(F.col("value").cast("decimal(18,2)") * F.col("n")).over(so_far).cast("double")
-    count = F.sum("n").over(so_far)
-    return log.select(*keys, "iter", worth.alias("total"), count.alias("count"), (worth / count).alias("mean"))
+    decimal, so that they do not depend on the order in which partitions come.
+
+    A task holds a stretch of iterations of a key, not all of them: what the stretches before it add up to is worked out
+    on one row for each. Null keys are keys, and rows without an iteration come first.
+    """
+    rows = log.select(*keys, "iter", "n", (F.col("value").cast("decimal(18,2)") * F.col("n")).alias("_worth"))
+    rows = rows.withColumn("_stretch", F.floor(F.col("iter") / stretch))
+    sums = rows.groupBy(*keys, "_stretch").agg(F.sum("_worth").alias("_worth"), F.sum("n").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(
+        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_stretch").alias("_of"),
+        F.coalesce(F.sum("_worth").over(before), F.lit(0)).alias("_worth_before"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n_before"),
+    )
+    same = F.col("_stretch").eqNullSafe(F.col("_of"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    so_far = Window.partitionBy(*keys, "_stretch").orderBy("iter").rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.select("*", F.sum("_worth").over(so_far).alias("_own"), F.sum("n").over(so_far).alias("_count"))
+    placed = own.join(starts, same)
+    worth = (F.coalesce("_own", F.lit(0)) + F.col("_worth_before")).cast("double")
+    count = F.coalesce("_count", F.lit(0)) + F.col("_n_before")
+    return placed.select(*keys, "iter", worth.alias("total"), count.alias("count"), F.try_divide(worth, count).alias("mean"))
+
+
+def elapsed(log: DataFrame, key: str, at: str, order: str, seconds: int = 3600) -> DataFrame:
+    """key, order, us: microseconds since the row before within the key, by the time `at`, then order. The first row of
+    a key, rows without a time, and what follows those alone have none and are left out. A task holds so many
+    seconds of a key; the stretch before counts with its last time."""
+    rows = log.where(F.col(at).isNotNull()).select(key, order, F.unix_micros(F.col(at)).alias("_us"))
+    rows = rows.withColumn("_stretch", F.floor(F.col("_us") / (seconds * 1_000_000)))
+    last = rows.groupBy(key, "_stretch").agg(F.max("_us").alias("_last"))
+    earlier = F.lag("_last").over(Window.partitionBy(key).orderBy("_stretch"))
+    starts = last.select(F.col(key).alias("_of_key"), F.col("_stretch").alias("_of"), earlier.alias("_carried"))
+    within = F.lag("_us").over(Window.partitionBy(key, "_stretch").orderBy("_us", order))
+    own = rows.withColumn("_before", within)
+    placed = own.join(starts, (F.col("_stretch") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_of_key")))
+    return placed.select(key, order, (F.col("_us") - F.coalesce("_before", "_carried")).alias("us")).where("us is not null")
 
 
 def epoch_means(log: DataFrame) -> DataFrame:

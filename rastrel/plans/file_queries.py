@@ -34,7 +34,7 @@ def _geotiffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.transform("v", lambda x: (x > 0).cast("double"))
 
     def of(kind: str, dtype: str, pixels: Column) -> DataFrame:
-        name = F.format_string(f"{kind}_%04d.tif", "tile_id").alias("name")
+        name = F.format_string(f"{kind}/%04d.tif", "tile_id").alias("name")
         bands = F.array(pixels).alias("bands")
         crs = F.lit("EPSG:32632").alias("crs")
         return model.tiles(spark, sf_dir).select(name, *size, F.lit(dtype).alias("dtype"), gt.alias("gt"), crs, bands)
@@ -55,8 +55,8 @@ def _written(spark: SparkSession, sf_dir: str) -> str:
 )
 def geotiff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images and labels, a GeoTIFF file each, read back and joined by the number in their names."""
-    read = tiff.read(spark, _written(spark, sf_dir)).where("error is null")
-    of = lambda kind: read.where(names.base_name(F.col("path")).startswith(kind))
+    folder = _written(spark, sf_dir)
+    of = lambda kind: tiff.read(spark, f"{folder}/{kind}").where("error is null")
     images = of("image").select(_number(), F.col("bands")[0].alias("v"))
     labels = of("label").select(_number(), F.col("bands")[0].alias("label"))
     both = images.join(labels, "tile_id").select("tile_id", F.posexplode(F.arrays_zip("v", "label")).alias("i", "x"))
@@ -71,8 +71,8 @@ def geotiff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def geotiff_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, bands, type and place of GeoTIFF files, whose pixels are not decoded."""
-    read = tiff.read(spark, _written(spark, sf_dir), pixels=False).where("error is null")
-    kind = F.substring_index(names.base_name(F.col("path")), "_", 1).alias("kind")
+    read = tiff.read(spark, f"{_written(spark, sf_dir)}/*", pixels=False).where("error is null")
+    kind = F.regexp_extract("path", "([a-z]+)/[^/]*$", 1).alias("kind")
     return read.select(_number(), kind, "width", "height", "n_bands", "dtype", "gt.x0", "gt.y0", "gt.dx", "gt.dy", "crs")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import geo, rng
 from ..operators import augment, focal, grid, masks, sampling, transforms
-from .registry import PAIRS, TILES, query
+from .registry import PAIRS, TILES, fractal, query
 
 _SIDE = model.SIDE
 
@@ -294,11 +294,18 @@ def blur_path_cumsum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.select("k", "path", F.round("re", 9).alias("re"), F.round("im", 9).alias("im"), place("re").alias("x"), place("im").alias("y"), F.pmod(F.sum(F.when(F.col("im") < 0, 1).otherwise(0)).over(so_far), F.lit(2)).cast("long").alias("turned"))
 
 
-@query()
+@query(
+    f"""WITH {fractal(2.0)},
+    lit AS (SELECT tile_id, f, list_transform(v, lambda x: (x + 1) * 127.5 / 255.0) AS v FROM fractal JOIN tiles USING (tile_id)),
+    top AS (SELECT *, list_max(v) AS t FROM lit)
+    SELECT tile_id, i, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (v[i + 1] + 1.5 * f[i + 1]) * t / (t + 1.5))) * 255, 9) AS v
+    FROM top, range(64) x(i)"""
+)
 def plasma_fog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles under a fog of their own."""
     tiles = model.tiles(spark, sf_dir).select("tile_id", F.transform("v", lambda x: (x + 1) * 127.5).alias("v"))
     maps = augment.per_batch(tiles, lambda ids, _: augment.plasma(8, 2.0, augment.draws(ids, 64)), 8, 8).withColumnRenamed("v", "fractal")
-    return tiles.join(maps, "tile_id").select("tile_id", augment.fogged(F.col("v"), F.col("fractal"), 1.5).alias("v"))
+    return _flat(tiles.join(maps, "tile_id"), v=augment.fogged(F.col("v"), F.col("fractal"), 1.5))
 
 
 def _bspline(d: str) -> str:

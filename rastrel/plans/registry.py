@@ -26,3 +26,29 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def fractal(decay: float, side: int = 8) -> str:
+    """Common tables up to fractal (tile_id, f): a fractal of side x side for each tile, a step of midpoint displacement
+    at a time, as arrays row by row."""
+    draw = "('0x' || substr(md5('plasma|' || tile_id || '|' || k), 1, 8))::BIGINT / 2147483648.0::DOUBLE - 1"
+    n = side * side
+    tables = [f"{TILES}, f0 AS (SELECT tile_id, list_transform(range({n}), lambda k: {draw}) AS n, list_transform(range({n}), lambda k: 0.0::DOUBLE) AS f FROM tiles)"]
+    gap, amplitude, used, step = side, 100.0, 0, 0
+    while gap > 1:
+        half, known = gap // 2, side // gap
+        diagonal = [(-half, -half), (-half, half), (half, -half), (half, half)]
+        straight = [(-half, 0), (half, 0), (0, -half), (0, half)]
+        for row0, column0, around in ((half, half, diagonal), (0, half, straight), (half, 0, straight)):
+            at = lambda y, x: f"f[(i // {side} + {side + y}) % {side} * {side} + (i % {side} + {side + x}) % {side} + 1]"  # noqa: B023, E731
+            mean = " + ".join(at(y, x) for y, x in around)
+            place = f"{used} + (i // {side} - {row0}) // {gap} * {known} + (i % {side} - {column0}) // {gap} + 1"
+            new = f"({mean}) / 4 + {amplitude * amplitude!r}::DOUBLE * n[{place}]"
+            mine = f"i // {side} % {gap} = {row0} AND i % {side} % {gap} = {column0}"
+            cells = f"list_transform(range({n}), lambda i: CASE WHEN {mine} THEN {new} ELSE f[i + 1] END)"
+            tables.append(f"f{step + 1} AS (SELECT tile_id, n, {cells} AS f FROM f{step})")
+            used, step = used + known * known, step + 1
+        gap, amplitude = half, amplitude / decay
+    low, high = "list_min(f)", "list_max(f)"
+    tables.append(f"fractal AS (SELECT tile_id, list_transform(f, lambda x: (x - {low}) / greatest({high} - {low}, 1e-12)) AS f FROM f{step})")
+    return ",\n    ".join(tables)

@@ -9,7 +9,7 @@ from .. import model
 from ..functions import names
 from ..operators import augment, catalog, losses, pairing, runlog, sampling
 from ..sources import sinks
-from .registry import RUNLOG, SCENES, TILES, query
+from .registry import RUNLOG, SCENES, TILES, fractal, query
 
 _CHOSEN = f"""{SCENES}, m AS (SELECT *, acq_date >= DATE '2024-01-05' AND acq_date < DATE '2024-01-08' AND cloud_pct < 2 AS fits FROM scenes),
     chosen AS (SELECT * FROM (SELECT *, sum(fits::INTEGER) OVER (PARTITION BY region) AS n FROM m) WHERE fits OR n = 0)"""
@@ -285,12 +285,8 @@ def augmentation_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH l AS (SELECT event_type AS metric, event_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id)) AS us FROM events) SELECT metric, event_id, us FROM l WHERE us IS NOT NULL""")
 def elapsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    rows = model.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    step = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(order)
-    return rows.select(F.col("event_type").alias("metric"), "event_id", step.alias("us")).where("us is not null")
+    events = model.table(spark, sf_dir, "events")
+    return runlog.elapsed(events.select(F.col("event_type").alias("metric"), "event_id", F.col("ts").cast("timestamp").alias("ts")), "metric", "ts", "event_id")
 
 
 @query("""WITH k AS (SELECT p_partkey, map {'conv.weight': 1, 'conv.running_mean': 2, 'conv.running_var': 3, 'conv.bias': p_size} AS m FROM part) SELECT p_partkey, len(list_filter(map_keys(m), lambda x: NOT x LIKE '%running_mean' AND NOT x LIKE '%running_var')) AS n_kept FROM k""")
@@ -342,6 +338,9 @@ def forest_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_.transform(both.where("split = 'test'")).select("tile_id", "site", F.col("prediction").cast("int").alias("y_pred"))
 
 
-@query()
+@query(f"WITH {fractal(3.0)} SELECT tile_id, i, round(f[i + 1], 9) AS v FROM fractal, range(64) x(i)")
 def plasma_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return augment.per_batch(model.tiles(spark, sf_dir), lambda ids, _: augment.plasma(8, 3.0, augment.draws(ids, 64)), 8, 8)
+    """A fractal for each tile, from its number."""
+    maps = augment.per_batch(model.tiles(spark, sf_dir), lambda ids, _: augment.plasma(8, 3.0, augment.draws(ids, 64)), 8, 8)
+    flat = maps.select("tile_id", F.posexplode("v").alias("i", "v"))
+    return flat.select("tile_id", F.col("i").cast("long").alias("i"), F.round("v", 9).alias("v"))
