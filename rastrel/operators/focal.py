@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,6 +64,43 @@ def bilinear(v: Column, height: int, width: int, new_height: int, new_width: int
     return places(new_height, new_width, one)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def warped(v: Column, gt: Column, height: int, width: int, to: Column, new_height: int, new_width: int, no_data: float | None = 0.0, fill: float = 0.0) -> Column:
+    """The tile, placed by the geotransform gt, on the grid of new_height x new_width pixels placed by `to`: bilinear
+    between pixel centres. Pixels that are missing, NaN or no_data, and those beyond the edge, have no weight; where
+    none of the four has any, and outside the tile, it is fill. Both geotransforms may be rotated."""
+    det = gt["dx"] * gt["dy"] - gt["rx"] * gt["ry"]
+
+    def tap(q: Column, dr: int, dc: int) -> Column:
+        here = at(v, q["r0"] + dr, q["c0"] + dc, height, width, float("nan"))
+        down, across = (q["fy"] if dr else 1 - q["fy"]), (q["fx"] if dc else 1 - q["fx"])
+        return F.struct(here.alias("value"), (down * across).alias("weight"))
+
+    def one(r: Column, c: Column) -> Column:
+        x = to["x0"] - gt["x0"] + (c + 0.5) * to["dx"] + (r + 0.5) * to["rx"]
+        y = to["y0"] - gt["y0"] + (c + 0.5) * to["ry"] + (r + 0.5) * to["dy"]
+        xy = F.struct(x.alias("x"), y.alias("y"))
+        place = let(xy, lambda p: F.struct(((p["y"] * gt["dx"] - p["x"] * gt["ry"]) / det).alias("row"), ((p["x"] * gt["dy"] - p["y"] * gt["rx"]) / det).alias("col")))
+        return let(place, spot)
+
+    def spot(p: Column) -> Column:
+        r0, c0 = F.floor(p["row"] - 0.5).cast("int"), F.floor(p["col"] - 0.5).cast("int")
+        corner = F.struct(r0.alias("r0"), c0.alias("c0"), (p["row"] - 0.5 - r0).alias("fy"), (p["col"] - 0.5 - c0).alias("fx"))
+        taps = let(corner, lambda q: F.array(*[tap(q, dr, dc) for dr in (0, 1) for dc in (0, 1)]))
+        known = F.filter(taps, lambda t: t["value"].isNotNull() & ~F.isnan(t["value"]) & ((t["value"] != no_data) if no_data is not None else F.lit(True)))
+        start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("weight"))
+        add = lambda s, t: F.struct((s["total"] + t["value"] * t["weight"]).alias("total"), (s["weight"] + t["weight"]).alias("weight"))
+        made = F.aggregate(known, start, add, lambda s: F.when(s["weight"] > 0, s["total"] / s["weight"]).otherwise(F.lit(fill)))
+        inside = (p["col"] >= 0) & (p["col"] <= width) & (p["row"] >= 0) & (p["row"] <= height)
+        return F.when(inside, made).otherwise(F.lit(fill))
+
+    return places(new_height, new_width, one)
+
+
 def slopes(v: Column, height: int, width: int) -> tuple[Column, Column]:
     """Differences down and across: central inside, one-sided at the edges."""
     def along(dr: int, dc: int) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import names
+from ..operators import focal
 from ..sources import files, png, scratch, sinks, tiff
 from .registry import ORACLE_SQL, TILES, query
 from .table_queries import split_70_10_20
@@ -76,6 +77,45 @@ def geotiff_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(_number(), kind, "width", "height", "n_bands", "dtype", "gt.x0", "gt.y0", "gt.dx", "gt.dy", "crs")
 
 
+def _tap(dr: int, dc: int) -> tuple[str, str]:
+    """The value at a neighbour, 0 outside, and its weight."""
+    r, c = f"(r0 + {dr})", f"(c0 + {dc})"
+    value = f"CASE WHEN {r} BETWEEN 0 AND 7 AND {c} BETWEEN 0 AND 7 THEN v[{r} * 8 + {c} + 1] ELSE 0 END"
+    return value, f"({'fy' if dr else '1 - fy'}) * ({'fx' if dc else '1 - fx'})"
+
+
+_TAPS = [_tap(dr, dc) for dr in (0, 1) for dc in (0, 1)]
+
+
+@query(
+    f"""WITH {TILES},
+    places AS (SELECT tile_id, list_transform(v, lambda x: greatest(0.0::DOUBLE, x)) AS v, i,
+            (-0.73::DOUBLE - tile_id % 5 * 0.1::DOUBLE + (i % 12 + 0.5) * 0.4::DOUBLE) / 0.5 AS col,
+            (0.53::DOUBLE - (i // 12 + 0.5) * 0.4::DOUBLE) / -0.5 AS row FROM tiles, range(144) x(i)),
+    near AS (SELECT *, floor(row - 0.5)::BIGINT AS r0, floor(col - 0.5)::BIGINT AS c0 FROM places),
+    parts AS (SELECT *, row - 0.5 - r0 AS fy, col - 0.5 - c0 AS fx FROM near),
+    sums AS (SELECT tile_id, i, col >= 0 AND col <= 8 AND row >= 0 AND row <= 8 AS inside,
+            {" + ".join(f"({v}) * {w}" for v, w in _TAPS)} AS total,
+            {" + ".join(f"CASE WHEN ({v}) <> 0 THEN {w} ELSE 0 END" for v, w in _TAPS)} AS weight FROM parts)
+    SELECT tile_id, i, round(CASE WHEN inside AND weight > 0 THEN total / weight ELSE 0 END, 6) AS v FROM sums"""
+)
+def warped_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles whose pixels at or below 0 are unknown, on a finer grid that begins beside them, as GeoTIFF files."""
+    fixed = lambda **of: F.struct(*[F.lit(x).alias(n) if isinstance(x, float) else x.alias(n) for n, x in of.items()])
+    gt = fixed(x0=0.0, dx=0.5, rx=0.0, y0=0.0, ry=0.0, dy=-0.5)
+    to = fixed(x0=F.lit(-0.73) - F.pmod("tile_id", F.lit(5)) * 0.1, dx=0.4, rx=0.0, y0=0.53, ry=0.0, dy=-0.4)
+    known = F.transform("v", lambda x: F.greatest(F.lit(0.0), x)).alias("v")
+    tiles = model.tiles(spark, sf_dir).select("tile_id", known, gt.alias("gt"), to.alias("to"))
+    # on its own, as a new column gt beside it would be taken for the old one inside the expression
+    tiles = tiles.select("tile_id", "to", focal.warped(F.col("v"), F.col("gt"), _SIDE, _SIDE, F.col("to"), 12, 12).alias("made"))
+    size = F.lit(12).alias("height"), F.lit(12).alias("width"), F.lit("f8").alias("dtype")
+    name = F.format_string("%04d.tif", "tile_id").alias("name")
+    folder = scratch.folder(spark, "warped")
+    tiff.write(tiles.select(name, *size, F.col("to").alias("gt"), F.lit("EPSG:32632").alias("crs"), F.array("made").alias("bands")), folder)
+    flat = tiff.read(spark, folder).where("error is null").select(_number(), F.posexplode(F.col("bands")[0]).alias("i", "v"))
+    return flat.select("tile_id", F.col("i").cast("long").alias("i"), F.round("v", 6).alias("v"))
+
+
 _RGB = """bytes AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x:
         least(255.0::DOUBLE, greatest(0.0::DOUBLE, floor((x + 1) * 127.5)))::BIGINT) AS v FROM embeddings)"""
 

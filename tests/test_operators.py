@@ -170,3 +170,38 @@ def test_slerp_keeps_ends(spark, a):
     if math.sqrt(sum(x * x for x in b)) < 1e-3:
         return
     assert np.allclose(value(spark, transforms.slerp(F.col("a"), F.col("b"), 0.0), a=a, b=b), a, atol=1e-6)
+
+
+def test_running_means_do_not_depend_on_stretches(spark):
+    rows = [("a", 1, 2, 1.5), ("a", 7, 1, 2.0), ("a", 12, 3, None), (None, 3, 1, 4.0), ("a", None, 1, 9.0), (None, 25, 0, 1.0), ("z", 4, 0, 1.0)]
+    log = spark.createDataFrame(rows, "metric string, iter long, n long, value double")
+    of = lambda stretch: sorted(map(repr, runlog.running_mean(log, "metric", stretch=stretch).collect()))
+    assert of(1) == of(5) == of(100_000)
+    found = {(r["metric"], r["iter"]): (r["total"], r["count"], r["mean"]) for r in runlog.running_mean(log, "metric", stretch=5).collect()}
+    assert found["a", None] == (9.0, 1, 9.0) and found["a", 12] == (14.0, 7, 2.0) and found[None, 25] == (4.0, 1, 4.0)
+    assert found["z", 4] == (0.0, 0, None)
+    assert runlog.running_mean(log.limit(0), "metric").count() == 0
+
+
+def test_elapsed_across_stretches(spark):
+    rows = [("a", 1, "2024-01-01 00:00:00"), ("a", 3, "2024-01-01 00:00:01"), ("a", 2, "2024-01-01 00:00:01"), ("a", 4, "2024-01-03 00:00:01"), ("a", 5, None), (None, 6, "2024-01-01 00:00:00"), (None, 7, "2024-01-01 00:00:30")]
+    log = spark.createDataFrame(rows, "metric string, id long, at string").withColumn("at", F.col("at").cast("timestamp"))
+    for seconds in (1, 60, 10**9):
+        found = {r["id"]: r["us"] for r in runlog.elapsed(log, "metric", "at", "id", seconds).collect()}
+        assert found == {2: 1_000_000, 3: 0, 4: 172_800_000_000, 7: 30_000_000}
+
+
+def test_warp(spark):
+    gt = lambda x0, y0, dx, rx, ry, dy: F.struct(*[F.lit(float(x)).alias(n) for n, x in zip(("x0", "dx", "rx", "y0", "ry", "dy"), (x0, dx, rx, y0, ry, dy), strict=True)])
+    own, v = gt(10, 20, 1, 0, 0, -1), [1.0, 2.0, 3.0, 4.0]
+    to = lambda place, h, w, **of: value(spark, focal.warped(F.col("v"), own, 2, 2, place, h, w, **of), v=v)
+    assert to(own, 2, 2) == v
+    assert to(gt(10.5, 19.5, 1, 0, 0, -1), 1, 1) == [2.5]  # between all four
+    assert to(gt(8, 20, 1, 0, 0, -1), 2, 2, fill=-9.0) == [-9.0] * 4  # beside the tile
+    assert to(gt(10.5, 19.5, 1, 0, 0, -1), 1, 1, no_data=4.0) == [2.0]
+    assert to(gt(10, 18, 0, 1, 1, 0), 2, 2) == [3.0, 1.0, 4.0, 2.0]  # turned by a quarter
+
+
+def test_draws_are_repeated():
+    assert np.array_equal(augment.draws(np.array([5, 6]), 8), augment.draws(np.array([5, 6]), 8)) and augment.draws(np.arange(0), 4).shape == (0, 4)
+    assert abs(augment.draws(np.arange(500), 16).mean()) < 0.03

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rastrel.sources import files, sinks, tiff
+from rastrel.sources import config, files, png, scratch, sinks, tiff
 from rastrel.streaming import runlog
 
 
@@ -212,3 +212,33 @@ def test_logs_by_trial(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0.5), (1, 0.25), (2, 1.0)], "trial int, loss double")
     sinks.logs(rows, f"{tmp_path}/logs", "trial")
     assert spark.read.json(f"{tmp_path}/logs/trial=1").count() == 2
+
+
+def test_png(spark, tmp_path):
+    rows = [("a/x.png", 2, 3, [[0.0, 1.9, 300.0, -4.0, float("nan"), 255.0]]), ("y.png", 1, 1, [[1.0], [2.0], [3.0]])]
+    assert sinks.files(png.encoded(spark.createDataFrame(rows, "name string, height int, width int, bands array<array<double>>")), str(tmp_path)) == 2
+    (wide,) = tiff.read_images(spark, str(tmp_path / "a")).collect()
+    assert (wide["width"], wide["height"], wide["n_bands"], wide["bands"]) == (3, 2, 1, [[0.0, 1.0, 255.0, 0.0, 0.0, 255.0]])
+    (colour,) = tiff.read_images(spark, str(tmp_path / "y.png")).collect()
+    assert colour["bands"] == [[1.0], [2.0], [3.0]]
+    with pytest.raises(ValueError):
+        png.encode(np.zeros((2, 4, 4), np.uint8))
+    assert sinks.files(spark.createDataFrame([], "name string, content binary"), str(tmp_path / "none")) == 0
+
+
+def test_contact_sheet():
+    tiles = np.arange(1, 6, dtype=np.uint8)[:, None, None, None] * np.ones((1, 1, 2, 2), np.uint8)
+    made = png.sheet(tiles, 3, 1)
+    assert made.shape == (1, 7, 10) and made[0, 1, [1, 4, 7]].tolist() == [1, 2, 3] and made[0, 4, [1, 4, 7]].tolist() == [4, 5, 0]
+    assert not made[0, [0, 3, 6]].any() and png.sheet(tiles[:1], 8, 0).shape == (1, 2, 2)
+
+
+def test_settings():
+    assert config.settings('{"lr": 0.5, "steps": [1, 2]}') == {"lr": 0.5, "steps": [1, 2]} and config.settings("") == {}
+    for text in ("[1, 2]", '{"a": ', "3"):
+        with pytest.raises(ValueError):
+            config.settings(text)
+
+
+def test_scratch_folders_differ(spark):
+    assert scratch.folder(spark, "x") != scratch.folder(spark, "x")
