@@ -65,7 +65,10 @@ def files(rows: DataFrame, folder: str) -> int:
                 draft = f"{place}/.{uuid.uuid4().hex}"
                 with store.open_output_stream(draft, compression=None) as out:
                     out.write(content)
-                store.move(draft, f"{root}/{name}")
+                target = f"{root}/{name}"
+                if store.get_file_info(target).type != fs.FileType.NotFound:  # an earlier attempt's; not all stores replace
+                    store.delete_file(target)
+                store.move(draft, target)
             yield pd.DataFrame({"n": [len(frame)]})
 
     written = rows.select("name", "content").mapInPandas(put, "n long")

@@ -221,6 +221,8 @@ def test_png(spark, tmp_path):
     assert (wide["width"], wide["height"], wide["n_bands"], wide["bands"]) == (3, 2, 1, [[0.0, 1.0, 255.0, 0.0, 0.0, 255.0]])
     (colour,) = tiff.read_images(spark, str(tmp_path / "y.png")).collect()
     assert colour["bands"] == [[1.0], [2.0], [3.0]]
+    again = spark.createDataFrame([("y.png", b"new"), ("y.png", b"new")], "name string, content binary").coalesce(1)
+    assert sinks.files(again, str(tmp_path)) == 2 and (tmp_path / "y.png").read_bytes() == b"new"
     with pytest.raises(ValueError):
         png.encode(np.zeros((2, 4, 4), np.uint8))
     assert sinks.files(spark.createDataFrame([], "name string, content binary"), str(tmp_path / "none")) == 0
